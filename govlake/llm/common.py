@@ -24,6 +24,9 @@ from pyspark.sql import types as T
 #: ASCII white space, the only separators of "words" in most contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
+
 _own: dict[str, str] = {}
 
 
@@ -46,9 +49,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/govlake/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[str, str] = {}
+        if spark.conf.get(BATCH_SETTING, None) != BATCH_BYTES:  # texts are of any length: batches by bytes, not by rows alone
+            spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
     def path(self, name: str) -> str:
         self.n += 1
+        if name in self.paths:  # the older one goes at the end, with all others
+            self.paths[f"{name}@{self.n}"] = self.paths[name]
         self.paths[name] = f"{self.base}/{self.n}-{name}"
         return self.paths[name]
 

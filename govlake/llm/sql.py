@@ -36,4 +36,54 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM e
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": OP3}
+OP1 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), t AS (
+  SELECT *, 20 + length(role) + length(text) + len(regexp_extract_all(role || text, '\\')) + len(regexp_extract_all(role, '</?turn>|<text>')) + len(regexp_extract_all(text, '</?turn>|<text>')) AS chars FROM c
+), g AS (
+  SELECT conv_id, count(*) AS n, sum(chars) AS chars,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text) AS loss
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, n::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g
+"""
+
+OP4_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+OP4 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, {AZ}), '{OP4_WORD}'), []) AS w FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, coalesce(regexp_extract_all(translate(text, {AZ}), '{OP4_WORD}'), []) AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, least(len(w), 13) AS k, array_to_string(w[i + 1 : i + least(len(w), 13)], ' ') AS words
+  FROM b, unnest(range(greatest(len(w) - 12, 1))) AS u(i) WHERE len(w) > 0
+), dw AS (
+  SELECT doc_id, i, k, array_to_string(w[i + 1 : i + k], ' ') AS words
+  FROM d, (SELECT DISTINCT k FROM bw) AS ks, unnest(range(greatest(len(w) - k + 1, 0))) AS u(i)
+), h AS (
+  SELECT doc_id, i, bw.k, item FROM dw JOIN bw ON dw.k = bw.k AND dw.words = bw.words
+), p AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, k FROM h), unnest(range(k)) AS u(j) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+OP5 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
+)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_format_chats": OP1, "op3_mix_sources": OP3, "op4_decontaminate": OP4, "op5_warc_archive": OP5}
