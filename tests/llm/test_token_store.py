@@ -22,8 +22,21 @@ def test_pieces_give_the_ids_of_whole_texts(plain):
     texts = [r[1] or "" for r in awkward_rows()]
     texts += ["a  b", "a   b", "a \n b", " a", "a ", "  ", "a\tb c", "it's we'll 's", "1 22 a1 !? ...", "x y z", "x\x1cy z", "a 　 b", "日本 語 テスト", "a\r\n b", "word<|endoftext|> word"]
     assert encoder.by_piece
-    for t in texts * 2:
-        assert np.frombuffer(encoder.encode(t), encoder.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    for _ in range(2):
+        for t, got in zip(texts, encoder.encode_all(texts), strict=True):
+            assert np.frombuffer(got, encoder.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_odd_joints(plain, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ts, "TOGETHER", 3)
+    encoder, rng = ts.Encoder(open(FILE, encoding="utf-8").read()), random.Random(4)
+    marks = ["", ",", ".", "\n", "\n\n", "'s", "!?", " ", "9", "\t", "é", ".\nThe", "<|endoftext|>", "\x85", "\n\n\n", "\nx"]
+    texts = [" ".join(rng.choice("ab the qu on".split()) + rng.choice(marks) + rng.choice(marks) for _ in range(rng.randrange(12))) for _ in range(600)]
+    for i in range(0, len(texts), 20):
+        for t, got in zip(texts[i : i + 20], encoder.encode_all(texts[i : i + 20]), strict=True):
+            assert np.frombuffer(got, encoder.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_crc_of_pieces():
