@@ -70,6 +70,12 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(write_store(table(spark, sf_dir, "documents"), token_file(), end_id=0))
 
 
+def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from govlake.llm.suffix_family import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from govlake.llm.quality_rules import BASE, quality_rules
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc_archive": op5_warc_archive,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_store": op8_token_store,
+    "op9_remove_repeats": op9_remove_repeats,
     "op10_quality_rules": op10_quality_rules,
 }
 
