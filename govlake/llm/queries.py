@@ -39,6 +39,12 @@ def op1_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from govlake.llm.quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from govlake.llm.mixing import mix_sources
 
@@ -58,6 +64,12 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_archive(table(spark, sf_dir, "pages")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from govlake.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from govlake.llm.near_duplicates import near_duplicates
 
@@ -84,9 +96,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_format_chats": op1_format_chats,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_mix_sources": op3_mix_sources,
     "op4_decontaminate": op4_decontaminate,
     "op5_warc_archive": op5_warc_archive,
+    "op6_language_id": op6_language_id,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_store": op8_token_store,
     "op9_remove_repeats": op9_remove_repeats,
