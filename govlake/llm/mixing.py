@@ -60,3 +60,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     out = scratch.write(mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")), "mixed")
     scratch.drop(*[k for k in scratch.paths if k != "mixed"])
     return out
+
+
+def mix_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
+    """The mix itself: the rows of ``docs``, with all their columns, each as often as the mix takes it."""
+    taken = mix_sources(docs, weights, share, cap, seed)
+    copies = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    mine = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies", "_rows")
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (word_count(docs["text"]) == F.col("_size"))
+    # rows that share doc_id, source and size share their copies evenly, as all rows of the source do
+    row = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text")))
+    joined = docs.join(mine, same)
+    several = joined.filter("_rows > 1").withColumn("_n", F.floor((F.col("_copies") + row - 1) / F.col("_rows")).cast("int"))
+    single = joined.filter("_rows = 1").withColumn("_n", F.col("_copies").cast("int"))
+    return single.unionByName(several).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select(*docs.columns)
