@@ -24,82 +24,104 @@ from pyspark.sql import functions as F
 from govlake.llm.common import Scratch, keep_rows
 
 WINDOW = 13
-#: Words before and after lower-casing A-Z.
-CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-LOWER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Word characters before lower-casing A-Z; listed one by one, they are looked up in a bit set.
+CASED = r"[0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz\x80-\x{10FFFF}]+"
 BLOCK_BYTES = 48 << 20
 UPPER_CASE, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The place of the probe that stands for the document itself.
+SELF = 4_242_424_242_424_242
 
 
 def words(text: Column) -> Column:
-    lowered = F.translate(text, UPPER_CASE, LOWER_CASE)
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(LOWER), F.lit(0)), F.array().cast("array<string>"))
+    """Words of a text; null has none. A-Z become a-z, other letters stay as they are."""
+    found = F.coalesce(F.regexp_extract_all(text, F.lit(CASED), F.lit(0)), F.array().cast("array<string>"))
+    return F.transform(found, lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, UPPER_CASE, LOWER_CASE)))
 
 
 def _hashes(array: Column) -> Column:
     return F.transform(array, lambda w: F.xxhash64(w))
 
 
+def _probe(hashes: Column, at: Column, length: int) -> Column:
+    """What a window of ``length`` words from ``at`` (0 first) is looked up by: up to four of its words; hits are verified in full."""
+    places = sorted({0, length // 3, 2 * length // 3, length - 1})
+    return F.xxhash64(F.lit(length), *[F.get(hashes, at + p) for p in places])
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """_hash, _length, _words and _items (ids as strings): the distinct windows of all items."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("_item"), words(F.col("text")).alias("_all")).filter(F.size("_all") > 0)
     length = F.least(F.size("_all"), F.lit(WINDOW))
     cut = F.transform(F.sequence(F.lit(1), F.size("_all") - length + 1), lambda i: F.slice("_all", i, length))
-    windows = items.select("_item", F.explode(cut).alias("_words")).groupBy("_words").agg(F.sort_array(F.collect_set("_item")).alias("_items"))
-    return windows.select(F.xxhash64(_hashes(F.col("_words"))).alias("_hash"), F.size("_words").alias("_length"), "_words", "_items")
+    windows = items.select("_item", F.explode(cut).alias("_words")).groupBy("_words").agg(F.sort_array(F.collect_set("_item")).alias("_items")).withColumn("_h", _hashes(F.col("_words")))
+    key = F.lit(None).cast("bigint")
+    for k in range(1, WINDOW + 1):
+        key = F.when(F.size("_words") == k, _probe(F.col("_h"), F.lit(0), k)).otherwise(key)
+    return windows.select(key.alias("_hash"), F.size("_words").alias("_length"), "_words", "_items")
 
 
 def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """doc_id, text_key, _at, _length, _items: every window of a document that the benchmark holds."""
+    """doc_id, text_key, n_words, _at, _length, _items: every window of a document that the benchmark holds, and a row of length 0 for the document itself."""
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("_doc_words"))
     base = base.withColumn("_h", _hashes(F.col("_doc_words")))
     n = F.size("_h")
     none = F.array().cast("array<bigint>")
 
     def cut(length: int) -> Column:
-        return F.when(n >= length, F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.xxhash64(F.slice("_h", i, length)))).otherwise(none)
+        return F.when(n >= length, F.transform(F.sequence(F.lit(0), n - length), lambda i: _probe(F.col("_h"), i, length))).otherwise(none)
 
     # the windows of all lengths in one array; the index there gives length and place back
-    probes = base.select("doc_id", "text_key", "_doc_words", F.posexplode(F.concat(*[cut(k) for k in lengths]) if len(lengths) > 1 else cut(lengths[0])).alias("_index", "_probe"))
+    every = F.concat(F.array(F.lit(SELF)), *[cut(k) for k in lengths])
+    probes = base.select("doc_id", "text_key", "_doc_words", F.posexplode(every).alias("_index", "_probe"))
     total = F.size("_doc_words")
-    place, size, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
+    place, size, before = F.lit(0), F.lit(0), F.lit(1)
     for k in lengths:
         count = F.greatest(total - k + 1, F.lit(0))
         inside = (F.col("_index") >= before) & (F.col("_index") < before + count)
         place, size, before = F.when(inside, F.col("_index") - before).otherwise(place), F.when(inside, F.lit(k)).otherwise(size), before + count
     same = (F.col("_probe") == F.col("_hash")) & (size == F.col("_length")) & (F.slice("_doc_words", place + 1, size) == F.col("_words"))
-    return probes.join(F.broadcast(windows), same, "inner").select("doc_id", "text_key", place.alias("_at"), "_length", "_items")
+    found = probes.join(F.broadcast(windows), same, "inner")
+    return found.select("doc_id", "text_key", total.cast("long").alias("n_words"), place.alias("_at"), "_length", "_items")
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, text_key, spans (disjoint runs of hit words, as first word and end), items: documents with a hit."""
+def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_words, spans (disjoint runs of hit words: first word and end), items: one row for each row of ``docs``.
+
+    One pass over the texts. A probe that always hits carries the document itself, so its number
+    of words and its hits meet in the same aggregation, and rows that repeat are counted there.
+    """
     scratch = Scratch(docs.sparkSession, "windows")
     windows = scratch.write(benchmark_windows(benchmark), "windows")
     size = F.aggregate("_words", F.lit(0), lambda a, w: a + F.octet_length(w) + 16) + F.aggregate("_items", F.lit(0), lambda a, w: a + F.octet_length(w) + 16) + 64
     known = windows.agg(F.sum(size).alias("bytes"), F.collect_set("_length").alias("lengths")).first()  # at most 13 lengths
-    if not known.lengths:
-        return windows.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, spans array<struct<first:int,end:int>>, items array<string>")
-    blocks = -(-known.bytes // BLOCK_BYTES)
-    lengths = sorted(known.lengths)
-    found = [_hits(docs, windows.filter(F.pmod(F.col("_hash"), F.lit(blocks)) == b) if blocks > 1 else windows, lengths) for b in range(blocks)]
-    gathered = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct(F.col("_at").alias("first"), (F.col("_at") + F.col("_length")).alias("end")))).alias("_spans"), F.collect_set("_items").alias("_items"))
+    blocks, lengths = max(1, -(-(known.bytes or 0) // BLOCK_BYTES)), sorted(known.lengths)
+    own = windows.sparkSession.range(1).select(F.lit(SELF).alias("_hash"), F.lit(0).alias("_length"), F.array().cast("array<string>").alias("_words"), F.array().cast("array<string>").alias("_items"))
+    found = []
+    for b in range(blocks):
+        part = windows.filter(F.pmod(F.col("_hash"), F.lit(blocks)) == b) if blocks > 1 else windows
+        found.append(_hits(docs, part.unionByName(own) if b == 0 else part, lengths))
+    hit = F.col("_length") > 0
+    gathered = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_key").agg(
+        F.max("n_words").alias("n_words"),
+        F.count(F.when(~hit, 1)).cast("int").alias("_rows"),
+        F.array_sort(F.collect_set(F.when(hit, F.struct(F.col("_at").alias("first"), (F.col("_at") + F.col("_length")).alias("end"))))).alias("_spans"),
+        F.collect_set(F.when(hit, F.col("_items"))).alias("_items"),
+    )
     merged = F.aggregate(
         "_spans",
         F.array().cast("array<struct<first:int,end:int>>"),
         lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["first"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
     )
-    return gathered.select("doc_id", "text_key", merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten("_items"))).alias("items"))
+    rows = gathered.withColumn("_row", F.explode(F.array_repeat(F.lit(0), F.col("_rows"))))
+    return rows.select("doc_id", "text_key", "n_words", merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten("_items"))).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 5) -> DataFrame:
     """doc_id, text_key, n_words, n_hit, items, spans and contaminated (``percent`` of the words are hit, and one at least) of every row."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(CASED)), F.lit(0)).cast("long").alias("n_words"))
-    hits = find_hits(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans", "items")
-    both = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-    n_hit = F.coalesce(F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["first"]), F.lit(0)).cast("long")
-    both = both.withColumn("n_hit", n_hit).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    n_hit = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["first"]).cast("long")
+    judged = judge(docs, benchmark).withColumn("n_hit", n_hit)
     bad = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
-    return both.select("doc_id", "text_key", "n_words", "n_hit", "items", "spans", bad.alias("contaminated"))
+    return judged.select("doc_id", "text_key", "n_words", "n_hit", "items", "spans", bad.alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 5) -> DataFrame:
@@ -109,7 +131,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 5)
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the hit words taken out of the texts; what stands between words stays."""
-    hits = find_hits(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
+    hits = judge(docs, benchmark).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).distinct()
     both = docs.join(hits, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left")
     found, gaps = F.regexp_extract_all("text", F.lit(CASED), F.lit(0)), F.split("text", CASED, -1)
     hit = lambda i: F.exists("_spans", lambda s: (s["first"] <= i) & (i < s["end"]))
