@@ -167,11 +167,11 @@ def masked_identity(t: Tables) -> DataFrame:
     return analyses.masked_identity_join(people, partners).select("c_custkey", "s_suppkey")
 
 
-@q("owners_in_contracts", f"{WITH_K} SELECT c_custkey::VARCHAR AS person_id, 'n' || c_custkey AS name, lpad(c_custkey::VARCHAR, 8, '0') AS company_id, min(ano)::INT AS first_year, max(ano)::INT AS last_year, count(*)::BIGINT AS items, round(sum(vi), 4) AS total FROM k WHERE vi BETWEEN 10001 AND 500000000 AND o_custkey % 7 <> 0 GROUP BY 1, 2, 3")
+@q("owners_in_contracts", f"{WITH_K} SELECT c_custkey::VARCHAR AS person_id, 'n' || c_custkey AS name, lpad(c_custkey::VARCHAR, 8, '0') AS company_id, min(ano)::INT AS first_year, max(ano)::INT AS last_year, count(*)::BIGINT AS items, round(sum(vi), 4) AS total FROM k WHERE vi BETWEEN 10001 AND 500000000 AND c_mktsegment <> 'BUILDING' GROUP BY 1, 2, 3")
 def owners(t: Tables) -> DataFrame:
     root = lambda c: F.lpad(c.cast("string"), 8, "0")
     people = t.customer.select(F.col("c_custkey").cast("string").alias("person_id"), F.concat(F.lit("n"), "c_custkey").alias("name"))
-    partners = t.customer.filter("c_custkey % 7 <> 0").select(F.concat(F.lit("N"), "c_custkey").alias("partner_name"), F.col("c_custkey").cast("string").alias("partner_id"), root(F.col("c_custkey")).alias("company_id"))
+    partners = t.customer.filter("c_mktsegment <> 'BUILDING'").select(F.concat(F.lit("N"), "c_custkey").alias("partner_name"), F.col("c_custkey").cast("string").alias("partner_id"), root(F.col("c_custkey")).alias("company_id"))
     items = wide(t).select(F.concat(root(F.col("o_custkey")), F.lit("000100")).alias("supplier_id"), F.col("ano").alias("year"), F.col("vi").alias("value"))
     return analyses.owners_in_contracts(people, partners, items)
 
