@@ -29,7 +29,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 GROUP_ROWS, LANG_ROWS = 200, 100
 SPREAD = 6
 #: Least value of an upper fence, in thousandths: mean word length, symbols a word, repeated lines a word, repeated words a word.
-FLOORS = {"m_length": 16_000, "m_symbols": 250, "m_dup_lines": 100, "m_repeat": 200}
+FLOORS = {"m_length": 16_000, "m_symbols": 250, "m_dup_lines": 100, "m_repeat": 280}
 LEAST_LENGTH = 1_500
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
