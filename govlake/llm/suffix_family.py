@@ -39,8 +39,6 @@ from govlake.llm.common import Scratch, blobs, free, join_groups, map_arrow
 LENGTH, REACH, BLOCK = 400, 200, 20
 #: Bytes of text that are hashed together; batches of documents that enter the family one by one.
 SLICE, BATCHES = 1 << 20, 4
-#: Measured bytes up to which lists of places in texts are broadcast to the texts, not shuffled with them.
-FEW_BYTES = 48 << 20
 GRAM = 8
 _POSITION = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -221,11 +219,7 @@ def _refine(scratch: Scratch, units: DataFrame, level: int) -> tuple[DataFrame,
 
 def _with_texts(docs: DataFrame, lists: DataFrame, texts: DataFrame) -> DataFrame:
     """``lists`` (text_key and more) with the text of each key, once."""
-    small = lists.agg(F.sum(F.size("items")).alias("items"), F.count(F.lit(1)).alias("rows")).first()
-    named = lists.join(texts.select(F.col("text_key").alias("_key"), "rep_id"), F.col("text_key") == F.col("_key")).select("text_key", "rep_id", "items")
-    side = named.select(F.col("text_key").alias("_key"), "rep_id", "items")
-    if 40 * (small["items"] or 0) + 64 * small["rows"] <= FEW_BYTES:
-        side = F.broadcast(side)
+    side = lists.join(texts.select(F.col("text_key").alias("_key"), "rep_id"), F.col("text_key") == F.col("_key")).select(F.col("text_key").alias("_key"), "rep_id", "items")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     return rows.join(side, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("text_key", "text", "items")
 
@@ -308,6 +302,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     single = texts.filter("rows = 1").select(F.col("text_key").alias("_single"))
     lists = spans.join(single, F.col("text_key") == F.col("_single"), "left_semi").groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("items"))
     lists = scratch.write(lists, "cuts")
+    free(docs.sparkSession)
 
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict = {c: [] for c in ("n_removed", "n_spans", "kept_sha256")}
