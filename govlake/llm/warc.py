@@ -66,7 +66,9 @@ def write_archive(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", path: st
     # by digest and page: copies of a common payload go to many tasks, and one copy stays
     keeper = groups.select(F.col("key").alias("_key"), F.col("response_id").alias("_id"))
     stored = rows.join(keeper, (F.col("key") == F.col("_key")) & F.col("page_id").eqNullSafe(F.col("_id")), "left_semi")
-    stored.dropDuplicates(["key", "page_id"]).select("key", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    if records.groupBy("key", "page_id").count().filter("count > 1").limit(1).count():  # rows that repeat with their page_id
+        stored = stored.dropDuplicates(["key", "page_id"])
+    stored.select("key", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     known = attach(records, groups, ["key"], "rows")
     revisit = (F.col("bytes") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
