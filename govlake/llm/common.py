@@ -9,6 +9,7 @@ folder is used.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -78,6 +79,7 @@ def free(spark: SparkSession) -> None:
     """Shuffle files go when the driver's JVM collects the plans that made them."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    give_back()
 
 
 def blobs(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -91,6 +93,15 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema))
 
 
+def give_back() -> None:
+    """Return what has been freed to the system: Python lives on beside the heap of the driver or executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function from a batch to columns (a dict of lists or arrays)."""
     typed = T._parse_datatype_string(schema)
@@ -102,6 +113,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
         for batch in batches:
             if batch.num_rows and (made := fn(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type) for f in out], schema=out)
+                made = batch = None
+        give_back()
 
     return df.mapInArrow(run, typed)
 
