@@ -70,7 +70,7 @@ def mix_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (word_count(docs["text"]) == F.col("_size"))
     # rows that share doc_id, source and size share their copies evenly, as all rows of the source do
     row = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text")))
-    joined = docs.join(mine, same)
+    joined = docs.join(mine.hint("merge"), same)  # a row per document: never one to broadcast
     several = joined.filter("_rows > 1").withColumn("_n", F.floor((F.col("_copies") + row - 1) / F.col("_rows")).cast("int"))
     single = joined.filter("_rows = 1").withColumn("_n", F.col("_copies").cast("int"))
     return single.unionByName(several).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select(*docs.columns)
