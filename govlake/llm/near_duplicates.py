@@ -7,12 +7,18 @@
 3. ``BANDS`` bands of ``BAND`` registers (empty ones borrow another's by a fixed random order) are
    hashed to buckets. Two sets of similarity 0.8 miss every bucket with a chance of 2e-9.
 4. Candidates are tested by size, then by the collision-corrected similarity estimate of the
-   sketches (rejecting only beyond six standard deviations), then on their full sets, which are
+   sketches (rejecting only beyond five standard errors), then on their full sets, which are
    made again from the texts of the few classes involved.
-5. Within a bucket no pairs are listed while one link can do: in rounds, each class tests one
-   partner in another component, and verified links merge components. What still differs
-   inside a bucket is then tested pair by pair between components, outside the bucket's
-   largest one; so no link between components is lost, and large groups stay linear.
+5. A class of whose shingles more than a fifth occur in no other candidate class cannot have a
+   link. Counting shingles among the candidates sieves such classes out without a single pair.
+6. Within a bucket no pairs are listed while one link can do: in rounds, each class tests one
+   partner in another component (first the bucket's most central class), and verified links
+   merge components.
+7. Classes that still share a bucket across components are sieved again. Of two linked sets the
+   rarest shingles (as many as the smaller overlap allows to miss, and one) must meet; so
+   pairs between components are listed only where such prefixes do, outside the largest
+   component that holds the shingle, and tested as before. No link between components is
+   lost, and copies of one original, alike but not linked, do not list each other.
 
 The result has the exact connected components of all links among candidates.
 
@@ -30,7 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from govlake.llm.common import Scratch, attach, blobs, join_groups, keep_rows, map_arrow
@@ -41,10 +47,12 @@ REGISTERS = 1 << REGISTER_BITS
 EMPTY = 0xFFFF
 BAND, BANDS = 5, 50
 #: Standard deviations below the threshold at which an estimate rejects a pair.
-DOUBT = 6.0
-#: Rounds of one test per class; rounds end early when the pairs left are at most so many per member.
-ROUNDS, FEW_PAIRS = 6, 4
-CACHED_WORDS = 400_000
+DOUBT = 5.0
+#: Measured bytes of sketches and sets up to which they are broadcast to the pairs, if there are so many pairs a node.
+FEW_BYTES, MET_OFTEN = 24 << 20, 8
+#: Rounds of one test per class before the pairs that are left are listed.
+ROUNDS = 2
+CACHED_WORDS = 150_000
 
 _rng = np.random.default_rng(7)
 _ORDER = np.argsort(_rng.random((REGISTERS, REGISTERS)), axis=1)  # where an empty register looks
@@ -107,13 +115,19 @@ def bands(registers: np.ndarray) -> np.ndarray:
     return _mix((_mix(cells) * _BAND_KEYS).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def estimates(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Similarity of pairs of sketches (rows), less the collisions of registers that chance gives, and how many registers tell."""
+def estimates(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity of pairs of sketches (rows), less the collisions of registers that chance gives, and its standard error if ``similarity`` is the true one.
+
+    A register in use holds one element of the union, so small unions are sampled almost whole, and the error shrinks accordingly.
+    """
     used = ((a != EMPTY) | (b != EMPTY)).sum(axis=1)
     same = ((a == b) & (a != EMPTY)).sum(axis=1)
     ratio = np.maximum(size_a, size_b) / np.maximum(1, np.minimum(size_a, size_b))
     chance = 0.169919487159739 * 2.0 ** (REGISTER_BITS - MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2
-    return np.maximum(same - chance, 0) / np.maximum(used, 1), used
+    used = np.maximum(used, 1)
+    union = np.maximum((size_a + size_b) / (1 + similarity), used)
+    error = np.sqrt(similarity * (1 - similarity) / used * np.maximum(1 - used / union, 0.1))
+    return np.maximum(same - chance, 0) / used, error + 1 / (DOUBT * used)
 
 
 def _describe(docs: DataFrame, shingle: int) -> DataFrame:
@@ -135,6 +149,7 @@ class _Verifier:
 
     def __init__(self, scratch: Scratch, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int):
         self.scratch, self.percent = scratch, percent
+        self.sieved = 0
         self.sketches = nodes.select("node", "n", "registers")
         keys = nodes.select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key"))
         if keys.count() <= 1_000_000:  # 24 bytes each
@@ -149,38 +164,84 @@ class _Verifier:
         if self.sets.count() > nodes.count():  # rows of the input that repeat: any one of them serves
             self.sets = scratch.write(self.sets.dropDuplicates(["node"]), "sets")
 
+    def _spread(self, some: DataFrame) -> DataFrame:
+        """node, shingle of every set."""
+
+        def run(batch: pa.RecordBatch) -> dict:
+            raw = batch.column("hashes").to_pylist()
+            return {"shingle": np.frombuffer(b"".join(raw), np.int64), "node": np.repeat(batch.column("node").to_numpy(), [len(r) // 8 for r in raw])}
+
+        return map_arrow(some, run, "shingle bigint, node bigint")
+
+    def prefixes(self, nodes: DataFrame) -> DataFrame:
+        """bucket (a shingle), node, place, n: the rarest shingles of each node, of which a link needs one in common.
+
+        A shingle's place counts those of its node that are rarer; ones that no other node has come first.
+        """
+        some = self.sets.join(nodes, "node", "left_semi")
+        spread = self.scratch.write(self._spread(some), "spread")
+        held = self.scratch.write(spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "held")
+        common = join_groups(spread, held, ["shingle"], "k").filter("k > 1")
+        by = Window.partitionBy("node")
+        sized = common.join(some.select("node", (F.octet_length("hashes") / 8).cast("long").alias("n")), "node")
+        placed = sized.withColumn("place", F.col("n") - F.count(F.lit(1)).over(by) + F.row_number().over(by.orderBy("k", "shingle")) - 1)
+        needed = F.ceil(F.lit(self.percent) * F.col("n") / 100)
+        out = self.scratch.write(placed.filter(F.col("place") <= F.col("n") - needed).select(F.col("shingle").alias("bucket"), "node", "place", "n"), "prefixes")
+        self.scratch.drop("spread", "held")
+        return out
+
+    def sieve(self, nodes: DataFrame) -> DataFrame:
+        """Of ``nodes`` those that may have a link among themselves: enough of their shingles occur in two or more."""
+        some = self.sets.join(nodes, "node", "left_semi")
+        held = self._spread(some).groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node"))
+        alone = held.filter("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+        sized = some.select("node", (F.octet_length("hashes") / 8).cast("long").alias("n")).join(alone, "node", "left")
+        self.sieved += 1
+        return self.scratch.write(sized.filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= self.percent * F.col("n")).select("node"), f"sieved-{self.sieved}")
+
     def links(self, pairs: DataFrame) -> DataFrame:
-        percent = self.percent
+        """Of ``pairs`` (a, b) those whose sets are similar enough.
+
+        Sketches come before full sets, in two joins, so that full sets move for probable pairs only.
+        Where counts show that each node is met many times and that the sets of all nodes concerned
+        are small, they are broadcast to the pairs instead, and one pass does both.
+        """
+        least = self.percent / 100
 
         def side(df: DataFrame, c: str) -> DataFrame:
             return df.select(*[F.col(x).alias(f"{x}_{c}") for x in df.columns])
 
-        a, b = side(self.sketches, "a"), side(self.sketches, "b")
-        both = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
-        sized = both.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "registers_a", "registers_b")
-
-        def likely(batch: pa.RecordBatch) -> dict:
+        def likely(batch: pa.RecordBatch) -> np.ndarray:
+            sizes = [batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")]
             matrix = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("registers_a", "registers_b")]
-            found, used = estimates(*matrix, *(batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")))
-            least = percent / 100
-            keep = found + DOUBT * np.sqrt(least * (1 - least) / np.maximum(used, 1)) + 2 / np.maximum(used, 1) >= least
-            mask = pa.array(keep)
-            return {c: batch.column(c).filter(mask) for c in ("a", "b")}
-
-        probable = map_arrow(sized, likely, "a bigint, b bigint")
-        sa, sb = side(self.sets, "a"), side(self.sets, "b")
-        full = probable.join(sa, F.col("a") == F.col("node_a")).join(sb, F.col("b") == F.col("node_b")).select("a", "b", "hashes_a", "hashes_b")
+            found, error = estimates(*matrix, *sizes, least)
+            return (found + DOUBT * error >= least) & (np.minimum(*sizes) >= least * np.maximum(*sizes) - 1e-6)
 
-        def equal(batch: pa.RecordBatch) -> dict:
+        def equal(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = []
             for x, y in zip(batch.column("hashes_a").to_pylist(), batch.column("hashes_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            return {c: batch.column(c).filter(mask) for c in ("a", "b")}
-
-        return map_arrow(full, equal, "a bigint, b bigint")
+                keep.append(100 * common >= self_percent * (len(x) + len(y) - common))
+            return batch.filter(pa.array(keep, pa.bool_()))
+
+        self_percent = self.percent
+        ends = lambda batch: {c: batch.column(c) for c in ("a", "b")}
+        concerned = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        described = self.scratch.write(self.sketches.join(concerned, "node", "left_semi"), "described")
+        sets = self.sets.join(described.select("node"), "node", "left_semi")
+        nodes = described.count()
+        often = pairs.count() >= MET_OFTEN * nodes
+        if often and (sets.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) + nodes * (2 * REGISTERS + 64) <= FEW_BYTES:
+            whole = self.scratch.write(described.join(sets, "node"), "whole")
+            both = pairs.join(F.broadcast(side(whole, "a")), F.col("a") == F.col("node_a")).join(F.broadcast(side(whole, "b")), F.col("b") == F.col("node_b"))
+            rows = both.select("a", "b", "n_a", "n_b", "registers_a", "registers_b", "hashes_a", "hashes_b")
+            return map_arrow(rows, lambda batch: ends(equal(batch.filter(pa.array(likely(batch))))), "a bigint, b bigint")
+        both = pairs.join(side(described, "a"), F.col("a") == F.col("node_a")).join(side(described, "b"), F.col("b") == F.col("node_b"))
+        rows = both.select("a", "b", "n_a", "n_b", "registers_a", "registers_b")
+        probable = map_arrow(rows, lambda batch: ends(batch.filter(pa.array(likely(batch)))), "a bigint, b bigint")
+        full = probable.join(side(sets, "a"), F.col("a") == F.col("node_a")).join(side(sets, "b"), F.col("b") == F.col("node_b"))
+        return map_arrow(full.select("a", "b", "hashes_a", "hashes_b"), lambda batch: ends(equal(batch)), "a bigint, b bigint")
 
 
 def _merge(scratch: Scratch, comps: DataFrame, links: DataFrame, tag: str) -> DataFrame:
@@ -195,34 +256,55 @@ def _merge(scratch: Scratch, comps: DataFrame, links: DataFrame, tag: str) -> Da
     return scratch.write(attach(comps, sized, ["comp"], "rows").select("node", F.coalesce("label", "comp").alias("comp")), f"comps{tag}")
 
 
+def _mixed(scratch: Scratch, known: DataFrame, tag: str) -> tuple[DataFrame, DataFrame] | None:
+    """Of ``known`` (bucket, node, comp and more) the buckets with several components, and their rows; None if there are none."""
+    sizes = known.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
+    stats = sizes.groupBy("bucket").agg(F.sum("size").alias("rows"), F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("size", "comp")).alias("largest"))
+    mixed = scratch.write(stats.filter("parts > 1"), f"mixed-{tag}")
+    if not mixed.limit(1).count():
+        return None
+    return mixed, scratch.write(attach(known, mixed, ["bucket"], "rows").filter(F.col("rows").isNotNull()), f"mine-{tag}")
+
+
 def _components(scratch: Scratch, members: DataFrame, verifier: _Verifier) -> DataFrame:
-    """node, comp for the nodes of ``members`` (bucket, node)."""
-    comps = scratch.write(members.select("node").distinct().withColumn("comp", F.col("node")), "comps-0")
-    for turn in range(ROUNDS + 1):
-        known = members.join(comps, "node")
-        sizes = known.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-        stats = sizes.groupBy("bucket").agg(F.sum("size").alias("rows"), F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.max("size").alias("most"))
-        mixed = scratch.write(stats.filter("parts > 1"), f"mixed-{turn}")
-        left = mixed.agg(F.sum((F.col("rows") - F.col("most")).cast("double") * F.col("rows")).alias("pairs"), F.sum("rows").alias("rows")).first()
-        if not left.rows:
+    """node, comp for the nodes of ``members`` (bucket, node, rows: the bucket's number of members)."""
+    every = scratch.write(members.groupBy("node").agg(F.sum("rows").alias("central")), "every")
+    able = verifier.sieve(every.select("node"))
+    members = scratch.write(members.select("bucket", "node").join(able, "node", "left_semi"), "able")
+    comps = scratch.write(every.select("node", F.col("node").alias("comp")), "comps-0")
+    for turn in range(ROUNDS):
+        # one test per class: with the bucket's most central class, then with one of chance in its largest component
+        if (found := _mixed(scratch, members.join(comps, "node"), str(turn))) is None:
             return comps
-        mine = scratch.write(attach(known, mixed, ["bucket"], "rows").filter(F.col("rows").isNotNull()), f"mine-{turn}")
-        if turn == ROUNDS or (turn and left.pairs <= FEW_PAIRS * left.rows):
-            # all pairs between components: a class outside the bucket's largest component with any other
-            small = mine.filter("comp <> largest").select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            every = mine.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), "largest")
-            pairs = small.join(every, "bucket").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("largest")) | (F.col("a") < F.col("b"))))
-            unique = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-            return _merge(scratch, comps, verifier.links(unique), "-last")
-        # one test per class: a bucket's centre is its smallest class, later one of chance, in the largest component at first
-        order = F.col("node") if turn == 0 else F.xxhash64(F.col("node"), F.lit(turn))
-        choice = mine if turn % 2 == 0 else mine.filter("comp = largest")
-        centres = choice.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), "node", "comp")).alias("centre"))
+        mixed, mine = found
+        choice = mine.join(every, "node").withColumn("order", -F.col("central")) if turn == 0 else mine.filter("comp = largest").withColumn("order", F.xxhash64(F.col("node"), F.lit(turn)))
+        centres = choice.groupBy("bucket").agg(F.min(F.struct("order", "node", "comp")).alias("centre"))
         centred = scratch.write(centres.join(mixed.select("bucket", "rows"), "bucket"), f"centres-{turn}")
         tests = attach(mine.select("bucket", "node", "comp"), centred, ["bucket"], "rows").filter(F.col("centre.comp") != F.col("comp"))
         chosen = tests.groupBy("node").agg(F.min("centre").alias("centre")).select(F.col("node").alias("a"), F.col("centre.node").alias("b"))
         comps = _merge(scratch, comps, verifier.links(scratch.write(chosen, f"tests-{turn}")), f"-{turn + 1}")
-    return comps
+    if (found := _mixed(scratch, members.join(comps, "node"), "rest")) is None:
+        return comps
+    prefixes = verifier.prefixes(verifier.sieve(found[1].select("node").distinct()))
+    for turn in range(ROUNDS + 1):
+        if (found := _mixed(scratch, prefixes.join(comps, "node"), f"prefix-{turn}")) is None:
+            return comps
+        if turn < ROUNDS:  # one more test per class, with a class of another component that holds its rarest common shingle
+            centres = found[1].groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("order"), "node", "comp")).alias("centre"))
+            centred = scratch.write(centres.join(found[0].select("bucket", "rows"), "bucket"), f"near-centres-{turn}")
+            tests = attach(found[1].select("bucket", "node", "comp"), centred, ["bucket"], "rows").filter(F.col("centre.comp") != F.col("comp"))
+            chosen = tests.groupBy("node").agg(F.min(F.struct("rows", "centre")).alias("best")).select(F.col("node").alias("a"), F.col("best.centre.node").alias("b"))
+            comps = _merge(scratch, comps, verifier.links(scratch.write(chosen, f"near-tests-{turn}")), f"-near-{turn}")
+    mine = found[1]
+    side = lambda c: [F.col("node").alias(c), F.col("comp").alias(f"c{c}"), F.col("place").alias(f"p{c}"), F.col("n").alias(f"n{c}")]
+    small, others = mine.filter("comp <> largest").select("bucket", *side("a")), mine.select("bucket", "largest", *side("b"))
+    whole = 100 + verifier.percent  # sets of n_a and n_b shingles that are linked share percent / whole of both together
+    needed = F.floor((F.lit(verifier.percent) * (F.col("na") + F.col("nb")) + (whole - 1)) / whole)
+    near = (100 * F.least("na", "nb") >= verifier.percent * F.greatest("na", "nb")) & (F.col("pa") <= F.col("na") - needed) & (F.col("pb") <= F.col("nb") - needed)
+    once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("largest")) | (F.col("a") < F.col("b")))
+    pairs = small.join(others, (small["bucket"] == others["bucket"]) & near & once)
+    unique = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    return _merge(scratch, comps, verifier.links(unique), "-last")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -241,7 +323,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     buckets = map_arrow(classes.select("node", "registers"), keys, "bucket bigint, node bigint")
     shared = scratch.write(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "shared")
-    members = scratch.write(join_groups(buckets, shared, ["bucket"], "rows").filter("rows > 1").select("bucket", "node"), "members")
+    members = scratch.write(join_groups(buckets, shared, ["bucket"], "rows").filter("rows > 1").select("bucket", "node", "rows"), "members")
     nodes = scratch.write(classes.join(members.select("node").distinct(), "node", "left_semi"), "nodes")
     comps = _components(scratch, members, _Verifier(scratch, nodes, docs, shingle, percent))
 
