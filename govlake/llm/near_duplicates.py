@@ -109,8 +109,8 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 def bands(registers: np.ndarray) -> np.ndarray:
     """Bucket keys of a sketch that is not empty."""
     full = registers != EMPTY
-    if not full.all():
-        registers = registers[_ORDER[np.arange(REGISTERS), np.argmax(full[_ORDER], axis=1)]]
+    if not full.all():  # only empty registers borrow, so a sketch without any has keys of the same kind
+        registers = np.where(full, registers, registers[_ORDER[np.arange(REGISTERS), np.argmax(full[_ORDER], axis=1)]])
     cells = registers[: BAND * BANDS].reshape(BANDS, BAND).astype(np.uint64) + np.uint64(1)
     return _mix((_mix(cells) * _BAND_KEYS).sum(axis=1, dtype=np.uint64)).view(np.int64)
 

@@ -118,6 +118,17 @@ def test_similar_sets_share_a_bucket():
             assert set(nd.bands(nd.sketch(a))) & set(nd.bands(nd.sketch(b)))
 
 
+def test_similar_sets_share_a_bucket_where_registers_just_fill():
+    rng = np.random.default_rng(4)
+    for size in (1200, 1400, 1700, 2000, 2500):
+        for similarity in (0.8, 0.82, 0.95, 0.99):
+            for _ in range(100):
+                union = rng.permutation(np.unique(rng.integers(0, 2**64, size, dtype=np.uint64)))
+                both = int(np.ceil(similarity * len(union)))
+                a, b = (np.sort(np.concatenate([union[:both], union[both + side :: 2]])) for side in (0, 1))
+                assert set(nd.bands(nd.sketch(a))) & set(nd.bands(nd.sketch(b))), (size, similarity)
+
+
 def test_estimates_hardly_ever_reject_a_link():
     rng = np.random.default_rng(3)
     for size in (3, 10, 60, 150, 500, 3000):
