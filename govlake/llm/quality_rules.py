@@ -5,8 +5,9 @@ and source: counts by log-linear bucket (64 buckets an octave, so a quantile is
 its value). Such sketches merge by adding counts, which is what the partial and final
 aggregations do, and those of a language or of the whole table are sums of those of its
 sources. A measure is too high beyond the group's third quartile plus ``SPREAD`` quartile
-ranges, but never below a floor that ordinary prose does not reach; mean word length also has a
-lower fence. Small groups take the sketch of their language, then that of all rows.
+ranges. Mean word length also has a lower fence, and the group's quartiles alone set both. The
+other three are 0 in most texts, where quartiles have no scale: their fences are never below a
+floor that ordinary prose does not reach. Small groups take the sketch of their language, then that of all rows.
 
 Nulls: a null text has no words and fails the base rules; null languages and sources are groups of
 their own. Rows that repeat are judged alike, each for itself. An empty table gives no rows.
@@ -28,9 +29,10 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Rows that a language and source needs for thresholds of its own, then a language.
 GROUP_ROWS, LANG_ROWS = 200, 100
 SPREAD = 6
-#: Least value of an upper fence, in thousandths: mean word length, symbols a word, repeated lines a word, repeated words a word.
-FLOORS = {"m_length": 16_000, "m_symbols": 250, "m_dup_lines": 100, "m_repeat": 280}
-LEAST_LENGTH = 1_500
+#: Least value of an upper fence, in thousandths: mean word length (no floor), symbols a word, repeated lines a word, repeated words a word.
+FLOORS = {"m_length": 0, "m_symbols": 250, "m_dup_lines": 100, "m_repeat": 280}
+#: Least quartile range of mean word length, for groups of texts that are all alike.
+LEAST_RANGE = 100
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 _IS_SPACE = np.zeros(256, bool)
@@ -97,10 +99,11 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     total = sketch.withColumn("_upto", F.sum("n").over(upto)).withColumn("_n", F.sum("n").over(by))
     quartile = lambda q: F.min(F.when(F.col("_upto") >= F.ceil(F.col("_n") * q), F.col("bucket")))
     got = total.groupBy(*keys, "measure").agg(F.max("_n").alias("_n"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
-    high, low = F.col("q3") + SPREAD * (F.col("q3") - F.col("q1")), F.col("q1") - SPREAD * (F.col("q3") - F.col("q1"))
+    spread = SPREAD * F.greatest(F.col("q3") - F.col("q1"), F.when(F.col("measure") == "m_length", LEAST_RANGE).otherwise(0))
+    high, low = F.col("q3") + spread, F.col("q1") - spread
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, c))
     sides = [F.greatest(pick(m, high), F.lit(floor)).alias(f"hi_{m}") for m, floor in FLOORS.items()]
-    return got.groupBy(*keys).agg(F.max("_n").alias("rows"), *sides, F.least(pick("m_length", low), F.lit(LEAST_LENGTH)).alias("lo_m_length"))
+    return got.groupBy(*keys).agg(F.max("_n").alias("rows"), *sides, pick("m_length", low).alias("lo_m_length"))
 
 
 def thresholds(base: DataFrame, scratch: Scratch) -> DataFrame:

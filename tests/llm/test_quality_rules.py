@@ -34,6 +34,17 @@ def test_junk_goes_and_prose_stays(spark):
     assert kept == set(range(300))
 
 
+def test_word_length_is_judged_by_the_group(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 100), "en", "a", 0, 0, 0, True, 0) for i in range(300)]
+    rows += [(1000 + i, " ".join(w * 3 for w in prose(rng, 100).split()), "en", "a", 0, 0, 0, True, 0) for i in range(10)]
+    rows += [(2000 + i, " ".join(w[:2] for w in prose(rng, 100).split()), "en", "a", 0, 0, 0, True, 0) for i in range(10)]
+    kept = {r.doc_id for r in keep_good(frame(spark, rows)).collect()}
+    assert kept == set(range(300))
+
+
 def test_keeps_all_columns_and_clashing_names(spark):
     df = frame(spark, awkward_rows())
     kept = keep_good(df)
