@@ -7,7 +7,9 @@ aggregations do, and those of a language or of the whole table are sums of those
 sources. A measure is too high beyond the group's third quartile plus ``SPREAD`` quartile
 ranges. Mean word length also has a lower fence, and the group's quartiles alone set both. The
 other three are 0 in most texts, where quartiles have no scale: their fences are never below a
-floor that ordinary prose does not reach. Small groups take the sketch of their language, then that of all rows.
+floor that ordinary prose does not reach. Small groups take the fences of their language, then those of all rows.
+A group's fence is never wider than its language's, nor, but for word length, than that of all
+rows, so a source that is mostly junk cannot raise its own.
 
 Nulls: a null text has no words and fails the base rules; null languages and sources are groups of
 their own. Rows that repeat are judged alike, each for itself. An empty table gives no rows.
@@ -116,7 +118,14 @@ def thresholds(base: DataFrame, scratch: Scratch) -> DataFrame:
     table = _fences(merged(), []).first()  # one row: the fences of all rows together
     mine = lang.select(*[F.col(c).alias(f"l_{c}") for c in lang.columns])
     both = own.join(mine, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
-    choose = lambda c: F.when(F.col("rows") >= GROUP_ROWS, F.col(c)).when(F.col("l_rows") >= LANG_ROWS, F.col(f"l_{c}")).otherwise(F.lit(table[c])).alias(c)
+
+    def choose(c: str) -> Column:
+        tighter = F.greatest if c.startswith("lo_") else F.least
+        wider = F.when(F.col("l_rows") >= LANG_ROWS, F.col(f"l_{c}")).otherwise(F.lit(table[c]))
+        if not c.endswith("m_length"):  # languages differ in word length only
+            wider = F.least(wider, F.lit(table[c]))
+        return F.when(F.col("rows") >= GROUP_ROWS, tighter(F.col(c), wider)).otherwise(wider).alias(c)
+
     return scratch.write(both.select("lang", "source", "rows", *[choose(c) for c in sides]), "thresholds")
 
 

@@ -45,6 +45,17 @@ def test_word_length_is_judged_by_the_group(spark):
     assert kept == set(range(300))
 
 
+def test_a_source_full_of_junk_does_not_raise_its_fence(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 100), "en", "a" if i < 300 else "b", 0, 0, 0, True, 0) for i in range(480)]
+    rows += [(1000 + i, " ".join(w + "$$" for w in prose(rng, 100).split()), "en", "b", 0, 0, 0, True, 0) for i in range(120)]
+    rows += [(2000 + i, " ".join(w + "$$" for w in prose(rng, 100).split()), "xx", "c", 0, 0, 0, True, 0) for i in range(20)]
+    kept = {r.doc_id for r in keep_good(frame(spark, rows)).collect()}
+    assert kept == set(range(480))
+
+
 def test_keeps_all_columns_and_clashing_names(spark):
     df = frame(spark, awkward_rows())
     kept = keep_good(df)
