@@ -1,18 +1,27 @@
 """Quality rules with adaptive thresholds.
 
-One Arrow pass measures every text. Each measure then goes into a quantile sketch per language
-and source: counts by log-linear bucket (64 buckets an octave, so a quantile is within 1/64 of
-its value). Such sketches merge by adding counts, which is what the partial and final
-aggregations do, and those of a language or of the whole table are sums of those of its
-sources. A measure is too high beyond the group's third quartile plus ``SPREAD`` quartile
-ranges. Mean word length also has a lower fence, and the group's quartiles alone set both. The
-other three are 0 in most texts, where quartiles have no scale: their fences are never below a
-floor that ordinary prose does not reach. Small groups take the fences of their language, then those of all rows.
-A group's fence is never wider than its language's, nor, but for word length, than that of all
-rows, so a source that is mostly junk cannot raise its own.
+One Arrow pass measures every text: mean word length, and the rates of symbols, repeated lines and
+repeated words. A rate counts one event and ``PRIOR_WORDS`` words more than the text has, so short
+texts have uncertain rates and a measure that is 0 in most texts still has quartiles, which follow
+the group's lengths and habits.
+
+Each measure goes into a quantile sketch per language and source: counts by log-linear bucket (64
+buckets an octave, so a quantile is within 1/64 of its value). Such sketches merge by adding
+counts, which is what the partial and final aggregations do, and those of a language or of the
+whole table are sums of those of its sources. The quartiles of a source are shrunk towards those
+of its language, and these towards those of the table, by a weight of rows / (rows +
+``PRIOR_ROWS``), on a logarithmic scale: no size switches anything.
+
+The fence of a group is its median plus ``SPREAD`` times the distance of its lower quartile. That
+holds where up to half of a source is junk: junk raises rates, so it moves the upper quartile
+first. Word length also has a fence below, from the upper quartile. No measure has a fixed limit. A source of
+which more than half is junk sets a level of its own; the base rules hold there too.
+
+Windows over sketches sort the buckets of one group and measure, a few thousand at most.
 
 Nulls: a null text has no words and fails the base rules; null languages and sources are groups of
 their own. Rows that repeat are judged alike, each for itself. An empty table gives no rows.
+A text is measured whole in one row, in memory proportional to its length.
 Other columns are ignored by ``quality_rules`` and kept by ``keep_good``, whatever their names.
 """
 
@@ -28,13 +37,15 @@ from govlake.llm.common import Scratch, attach, blobs, keep_rows, map_arrow
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Rows that a language and source needs for thresholds of its own, then a language.
-GROUP_ROWS, LANG_ROWS = 200, 100
-SPREAD = 6
-#: Least value of an upper fence, in thousandths: mean word length (no floor), symbols a word, repeated lines a word, repeated words a word.
-FLOORS = {"m_length": 0, "m_symbols": 250, "m_dup_lines": 100, "m_repeat": 280}
-#: Least quartile range of mean word length, for groups of texts that are all alike.
-LEAST_RANGE = 100
+#: Words that a rate adds to a text's own, and rows of its language (or of the table) that a group's quartiles count besides their own.
+PRIOR_WORDS, PRIOR_ROWS = 100, 100
+SPREAD = 12
+#: Values are in millionths: of a word's characters, or of events a word.
+SCALE = 1_000_000
+#: Least distance of a quartile from the median, as a part of the median: a bucket of the sketch; for rates, a few events where all texts of a group are of one length and have none.
+LEAST_DISTANCE = {"m_length": 64, "m_symbols": 4, "m_dup_lines": 4, "m_repeat": 4}
+#: The event of each rate: its column, and how much of that column is one event.
+EVENTS = {"m_symbols": ("n_symbols", 1), "m_dup_lines": ("n_dup_lines", 1), "m_repeat": ("n_repeat_words", WINDOW)}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 _IS_SPACE = np.zeros(256, bool)
@@ -94,39 +105,39 @@ def bucket(v: Column) -> Column:
     return v - v % step
 
 
-def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Fences of one level of groups from its bucket counts: keys, rows, then a map measure -> (low, high)."""
+def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, measure, rows and the logarithms of the quartiles q1, q2, q3 of one level of groups, from its bucket counts."""
     by = Window.partitionBy(*keys, "measure")
     upto = by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = sketch.withColumn("_upto", F.sum("n").over(upto)).withColumn("_n", F.sum("n").over(by))
-    quartile = lambda q: F.min(F.when(F.col("_upto") >= F.ceil(F.col("_n") * q), F.col("bucket")))
-    got = total.groupBy(*keys, "measure").agg(F.max("_n").alias("_n"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
-    spread = SPREAD * F.greatest(F.col("q3") - F.col("q1"), F.when(F.col("measure") == "m_length", LEAST_RANGE).otherwise(0))
-    high, low = F.col("q3") + spread, F.col("q1") - spread
-    pick = lambda m, c: F.max(F.when(F.col("measure") == m, c))
-    sides = [F.greatest(pick(m, high), F.lit(floor)).alias(f"hi_{m}") for m, floor in FLOORS.items()]
-    return got.groupBy(*keys).agg(F.max("_n").alias("rows"), *sides, pick("m_length", low).alias("lo_m_length"))
+    at = lambda q: F.log(F.min(F.when(4 * F.col("_upto") >= q * F.col("_n"), F.col("bucket"))))
+    return total.groupBy(*keys, "measure").agg(F.max("_n").alias("rows"), *[at(q).alias(f"q{q}") for q in (1, 2, 3)])
 
 
 def thresholds(base: DataFrame, scratch: Scratch) -> DataFrame:
     """lang, source, rows and the fences that hold for that group."""
-    stacked = base.filter("n_words > 0").select("lang", "source", F.explode(F.create_map(*[x for m in FLOORS for x in (F.lit(m), F.col(m))])).alias("measure", "value"))
+    measures_ = list(LEAST_DISTANCE)
+    stacked = base.filter("n_words > 0").select("lang", "source", F.explode(F.create_map(*[x for m in measures_ for x in (F.lit(m), F.col(m))])).alias("measure", "value"))
     sketch = scratch.write(stacked.groupBy("lang", "source", "measure", bucket(F.col("value")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "sketch")
     merged = lambda *keys: sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    own, lang = _fences(sketch, ["lang", "source"]), _fences(merged("lang"), ["lang"])
-    sides = [c for c in own.columns if c not in ("lang", "source", "rows")]
-    table = _fences(merged(), []).first()  # one row: the fences of all rows together
-    mine = lang.select(*[F.col(c).alias(f"l_{c}") for c in lang.columns])
-    both = own.join(mine, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
-
-    def choose(c: str) -> Column:
-        tighter = F.greatest if c.startswith("lo_") else F.least
-        wider = F.when(F.col("l_rows") >= LANG_ROWS, F.col(f"l_{c}")).otherwise(F.lit(table[c]))
-        if not c.endswith("m_length"):  # languages differ in word length only
-            wider = F.least(wider, F.lit(table[c]))
-        return F.when(F.col("rows") >= GROUP_ROWS, tighter(F.col(c), wider)).otherwise(wider).alias(c)
 
-    return scratch.write(both.select("lang", "source", "rows", *[choose(c) for c in sides]), "thresholds")
+    def shrunk(groups: DataFrame, wider: DataFrame, on: list[str]) -> DataFrame:
+        """``groups`` with quartiles that count ``PRIOR_ROWS`` rows of the wider group's besides their own."""
+        side = wider.select(*[F.col(c).alias(f"_{c}") for c in (*on, "q1", "q2", "q3")])
+        same = F.col("measure") == F.col("_measure")
+        for k in on[:-1]:
+            same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+        blend = lambda q: ((F.col("rows") * F.col(q) + PRIOR_ROWS * F.col(f"_{q}")) / (F.col("rows") + PRIOR_ROWS)).alias(q)
+        return groups.join(side, same).select(*[c for c in groups.columns if c not in ("q1", "q2", "q3")], blend("q1"), blend("q2"), blend("q3"))
+
+    lang = shrunk(_quartiles(merged("lang"), ["lang"]), _quartiles(merged(), []), ["measure"])
+    own = shrunk(_quartiles(sketch, ["lang", "source"]), lang, ["lang", "measure"])
+    part = F.element_at(F.create_map(*[x for m, d in LEAST_DISTANCE.items() for x in (F.lit(m), F.lit(1.0 / d))]), F.col("measure"))
+    q1, q2, q3 = (F.exp(q) for q in ("q1", "q2", "q3"))
+    fenced = own.withColumn("high", q2 + SPREAD * F.greatest(q2 - q1, q2 * part)).withColumn("low", q2 - SPREAD * F.greatest(q3 - q2, q2 * part))
+    pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{c}_{m}")
+    fences = fenced.groupBy("lang", "source").agg(F.max("rows").alias("rows"), *[pick(m, "high") for m in measures_], pick("m_length", "low"))
+    return scratch.write(fences, "thresholds")
 
 
 def _judged(docs: DataFrame, carried: list[Column], scratch: Scratch) -> DataFrame:
@@ -134,14 +145,14 @@ def _judged(docs: DataFrame, carried: list[Column], scratch: Scratch) -> DataFra
     rows = docs.select(*carried, "text")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"], *[f"{c} bigint" for c in BASE]])
     base = map_arrow(rows, _base, schema)
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    scaled = {"m_length": F.col("word_chars"), "m_symbols": F.col("n_symbols"), "m_dup_lines": F.col("n_dup_lines"), "m_repeat": F.col("n_repeat_words")}
-    base = scratch.write(base.withColumns({m: F.floor(c * 1000 / n).cast("long") for m, c in scaled.items()}), "base")
+    rate = lambda c, unit: (F.col(c) + unit) * SCALE / (F.col("n_words") + PRIOR_WORDS)
+    scaled = {"m_length": F.col("word_chars") * SCALE / F.greatest(F.col("n_words"), F.lit(1)), **{m: rate(c, unit) for m, (c, unit) in EVENTS.items()}}
+    base = scratch.write(base.withColumns({m: F.floor(v).cast("long") for m, v in scaled.items()}), "base")
     judged = attach(base, thresholds(base, scratch), ["lang", "source"], "rows")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    good = F.col("m_length") >= F.col("lo_m_length")
-    for m in FLOORS:
-        good &= F.col(m) <= F.col(f"hi_{m}")
+    good = F.col("m_length") >= F.col("low_m_length")
+    for m in LEAST_DISTANCE:
+        good &= F.col(m) <= F.col(f"high_{m}")
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(good, F.lit(False)))
 
 
