@@ -3,16 +3,20 @@
 A string of ``LENGTH`` bytes that starts at two places is covered at both. Instead of all suffixes,
 those at *anchors* are indexed: the anchor of a window of ``LENGTH`` bytes is the least hashed 8-gram
 among its first ``REACH`` positions, so equal windows have anchors at equal offsets, and the windows
-that share an anchor are neighbours. An anchor's suffix is compared by a 64-bit fingerprint of the
-``LENGTH - REACH + 1`` bytes that all its windows share; a sorted run of fingerprints with their
-counts is the suffix array of a batch of documents.
-
-``SuffixFamily`` holds such runs as levels. A new batch's run is added; while the smallest level is
-of equal order it is merged with it (a merge-scan of two sorted runs, counts of equal suffixes
-added), so a suffix is rewritten a logarithmic number of times. Suffixes seen once in all levels
-are done with: none of their windows repeats.
-
-For the others the whole span of an anchor's windows is fingerprinted. Spans found twice are
+that share an anchor are neighbours. A match of ``LENGTH`` bytes is a match of the
+``LENGTH - REACH + 1`` bytes at an anchor, so no more of a suffix is ever compared.
+
+``SuffixFamily`` is a kept index. Each batch of documents gets a sparse suffix array: its suffixes
+(equal ones once, with their number) in byte order of their first eight bytes, and where these are
+equal in order of a 64-bit fingerprint of the bytes that matter. A new array is merge-scanned
+(a merge join of two sorted runs) against every existing level, and suffixes met in both are
+written down as matches. The scan of a level of its own order writes the merged run at once, so
+levels of equal order become one of the next, and a suffix is rewritten a logarithmic number of times.
+An array is dealt over tasks by fingerprint, so a level is many sorted runs side by side, and
+equal suffixes always lie in the same one. Later calls open the index again and add to it.
+
+Suffixes without a match are done with: none of their windows repeats. For the others the whole
+span of an anchor's windows is fingerprinted. Spans found twice are
 covered. Where spans differ though their suffixes agree, one of each kind is cut into blocks of
 ``BLOCK`` windows and those that still differ into single windows, each step counted the same way. So
 only the ends of long matches are ever looked at window by window; everything is counting by key
@@ -21,17 +25,19 @@ collisions of 64-bit hashes.
 
 Nulls: a null text is empty, and a null doc_id is kept as it is. Rows that repeat are occurrences of
 their own, so equal texts of ``LENGTH`` bytes or more are removed wholly. An empty table gives no rows.
-Columns besides doc_id and text are ignored, whatever their names.
+Columns besides doc_id and text are ignored, whatever their names. Very long texts are hashed in
+pieces of ``SLICE`` bytes, but a text and the list of its units are one row each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govlake.llm.common import Scratch, blobs, free, join_groups, map_arrow
@@ -75,6 +81,7 @@ class Grams:
         words = np.empty(n, np.uint64)
         for k in range(min(GRAM, n)):
             words[k::GRAM] = np.frombuffer(padded, "<u8", count=len(range(k, n, GRAM)), offset=k)
+        self.heads = (words.byteswap() ^ np.uint64(1 << 63)).view(np.int64)  # signed order is byte order
         self.each = _mix(words + np.uint64(_BASE))
         up, self.down = _Powers.upto(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
@@ -117,6 +124,7 @@ def _together(pieces: Iterator[tuple[int, int, bytes]]) -> Iterator[list[tuple[i
 
 
 _UNITS = "ck bigint, fk bigint, weight int, text_key bigint, lo int, off int, n int"
+_SUFFIXES = f"head bigint, {_UNITS}"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -124,8 +132,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _anchor_units(texts: list[bytes], keys: np.ndarray) -> dict:
-    """A unit per anchor: ck names what its windows share, fk their whole span; windows lo..lo+n-1, anchor at lo+off."""
-    out: dict = {c: [] for c in ("ck", "fk", "text_key", "lo", "off", "n")}
+    """A unit per anchor: head begins its suffix, ck names what its windows share, fk their whole span; windows lo..lo+n-1, anchor at lo+off."""
+    out: dict = {c: [] for c in ("head", "ck", "fk", "text_key", "lo", "off", "n")}
     for held in _together(_pieces(texts)):
         sizes = np.array([len(p) for _, _, p in held])
         begin = np.cumsum(sizes) - sizes
@@ -140,6 +148,7 @@ def _anchor_units(texts: list[bytes], keys: np.ndarray) -> dict:
         span = grams.of(lo, hi - lo + LENGTH)
         which = np.searchsorted(begin, lo, side="right") - 1
         offset = np.array([base for _, base, _ in held])[which] - begin[which]
+        out["head"].append(grams.heads[a])
         out["ck"].append(_signed(shared))
         out["fk"].append(_signed(_mix(span ^ _mix(((a - lo) * 1000 + hi - lo).astype(np.uint64) + np.uint64(1)))))
         out["text_key"].append(keys[np.array([number for number, _, _ in held])[which]])
@@ -172,34 +181,92 @@ def _cut_units(text: bytes, units: list[dict], block: int) -> list[tuple]:
     return out
 
 
-class SuffixFamily:
-    """Levels of sorted runs (ck, rows), each at least twice as large as the next."""
+def _suffixes(docs: DataFrame) -> DataFrame:
+    """The suffixes at the anchors of all texts."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        made = _anchor_units(blobs(batch.column("text")), batch.column("text_key").to_numpy())
+        return made | {"weight": np.ones(len(made["ck"]), np.int32)}
 
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.levels, self.made = scratch, [], 0
+    return map_arrow(docs.filter(F.octet_length("text") >= LENGTH).select(F.xxhash64("text").alias("text_key"), "text"), run, _SUFFIXES)
 
-    def _write(self, run: DataFrame) -> tuple[str, DataFrame]:
+
+class SuffixFamily:
+    """The index below ``path``: suffixes with their places by batch, levels of sorted runs (head, ck, rows), matches by batch.
+
+    ``state`` says which levels count. A call that fails before it writes a new state leaves the
+    old one, and its batch can be added again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.batches, self.made, self.levels = 0, 0, []  # levels: [order, name], the largest first
+        jvm = spark.sparkContext._jvm
+        self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        self._fs = self._at("state").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if self._fs.exists(self._at("state")):
+            done = [int(s.getPath().getName()) for s in self._fs.listStatus(self._at("state")) if self._fs.exists(self._at(f"state/{s.getPath().getName()}/_SUCCESS"))]
+            if done:
+                self.batches, self.made, self.levels = json.loads(spark.read.text(f"{path}/state/{max(done)}").first()[0])
+
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def _run(self, run: DataFrame) -> tuple[str, DataFrame]:
         self.made += 1
-        return f"level-{self.made}", self.scratch.write(run.sortWithinPartitions("ck"), f"level-{self.made}")
-
-    def add(self, suffixes: DataFrame) -> None:
-        """Add a batch of suffixes (ck); levels of its order merge with it."""
-        name, run = self._write(suffixes.groupBy("ck").agg(F.count(F.lit(1)).alias("rows")))
-        order = 0
-        while self.levels and self.levels[-1][0] == order:
-            _, older, level = self.levels.pop()
-            merged, run_ = self._write(level.union(run).groupBy("ck").agg(F.sum("rows").alias("rows")))
-            self.scratch.drop(name, older)
-            name, run, order = merged, run_, order + 1
-        self.levels.append((order, name, run))
+        return f"levels/{self.made}", self._write(run.sortWithinPartitions("head", "ck"), f"levels/{self.made}")
+
+    def level(self, name: str) -> DataFrame:
+        return self.spark.read.schema("head bigint, ck bigint, rows bigint").parquet(f"{self.path}/{name}")
+
+    def add(self, docs: DataFrame) -> None:
+        """Index a batch of documents (doc_id, text)."""
+        self.enter(self._write(_suffixes(docs), f"units/batch={self.batches}"))
+
+    def enter(self, suffixes: DataFrame) -> None:
+        """Array of a batch's suffixes (head, ck), its scans against all levels, and the merges they bring."""
+        name, array = self._run(suffixes.groupBy("head", "ck").agg(F.count(F.lit(1)).alias("rows")))
+        found, gone, order, carried, levels = [array.filter("rows > 1")], [], 0, array, list(self.levels)
+        scan = lambda older, newer, how: newer.withColumnRenamed("rows", "_new").hint("merge").join(older.withColumnRenamed("rows", "_old"), ["head", "ck"], how)
+        while levels and levels[-1][0] == order:
+            _, old = levels.pop()
+            both = scan(self.level(old), carried, "full_outer")
+            gone += [old, name]
+            name, merged = self._run(both.select("head", "ck", (F.coalesce("_new", F.lit(0)) + F.coalesce("_old", F.lit(0))).alias("rows"), (F.col("_new").isNotNull() & F.col("_old").isNotNull()).alias("met")))
+            found.append(merged.filter("met").drop("met"))
+            carried, order = merged.drop("met"), order + 1
+        for _, old in levels:  # no merge: only the new array is scanned
+            found.append(scan(self.level(old), array, "inner").select("head", "ck", (F.col("_new") + F.col("_old")).alias("rows")))
+        matches = found[0]
+        for more in found[1:]:
+            matches = matches.unionByName(more)
+        self._write(matches.select("ck", "rows"), f"matches/batch={self.batches}")
+        self.levels, self.batches = [*levels, [order, name]], self.batches + 1
+        state = json.dumps([self.batches, self.made, self.levels])
+        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/state/{self.batches}")
+        for old in gone:
+            self._fs.delete(self._at(old), True)
+        free(self.spark)
 
     def repeated(self) -> DataFrame:
-        """ck and rows of the suffixes that occur twice or more in all levels together."""
-        every = self.levels[0][2]
-        for _, _, level in self.levels[1:]:
-            every = every.union(level)
-        counted = every.groupBy("ck").agg(F.sum("rows").alias("rows")) if len(self.levels) > 1 else every
-        return counted.filter("rows > 1")
+        """ck of the suffixes that occur twice or more in all batches, and rows: the most occurrences seen at one match."""
+        matches = self.spark.read.schema("ck bigint, rows bigint, batch int").parquet(f"{self.path}/matches")
+        return matches.filter(F.col("batch") < self.batches).groupBy("ck").agg(F.max("rows").alias("rows"))
+
+    def units(self) -> DataFrame:
+        """The suffixes of all batches with their places."""
+        return self.spark.read.schema(f"{_SUFFIXES}, batch int").parquet(f"{self.path}/units").filter(F.col("batch") < self.batches).select("ck", "fk", "weight", "text_key", "lo", "off", "n")
+
+
+def index_batches(docs: DataFrame, path: str, batches: int = BATCHES) -> SuffixFamily:
+    """A new index of ``docs``, which enter in ``batches`` parts; one pass over the texts."""
+    family = SuffixFamily(docs.sparkSession, path)
+    _suffixes(docs).withColumn("batch", F.pmod(F.col("text_key"), F.lit(batches)).cast("int")).write.option("compression", "zstd").partitionBy("batch").parquet(f"{path}/units")
+    every = docs.sparkSession.read.schema(f"{_SUFFIXES}, batch int").parquet(f"{path}/units")
+    for b in range(batches):
+        family.enter(every.filter(F.col("batch") == b))
+    return family
 
 
 def _refine(scratch: Scratch, units: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
@@ -224,24 +291,19 @@ def _with_texts(docs: DataFrame, lists: DataFrame, texts: DataFrame) -> DataFram
     return rows.join(side, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("text_key", "text", "items")
 
 
-def find_repeats(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The table of texts (doc_id, text_key, n_bytes, sha256), and spans (text_key, first, end) that cover all repeated bytes."""
+def find_repeats(docs: DataFrame, scratch: Scratch, family: SuffixFamily | None = None) -> tuple[DataFrame, DataFrame]:
+    """The table of texts (doc_id, text_key, n_bytes, sha256), and spans (text_key, first, end) that cover all repeated bytes.
+
+    ``family`` is the kept index of exactly the documents ``docs``, in any batches; without one an index is made and dropped.
+    """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("sha256"))
     known = scratch.write(rows, "documents")
     texts = scratch.write(known.groupBy("text_key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("rep_id")), "texts")
-
-    def anchors(batch: pa.RecordBatch) -> dict:
-        made = _anchor_units(blobs(batch.column("text")), batch.column("text_key").to_numpy())
-        return made | {"weight": np.ones(len(made["ck"]), np.int32)}
-
-    long_texts = docs.filter(F.octet_length("text") >= LENGTH).select(F.xxhash64("text").alias("text_key"), "text")
-    units = scratch.write(map_arrow(long_texts, anchors, _UNITS), "anchors")
-    family = SuffixFamily(scratch)
-    for b in range(BATCHES):
-        family.add(units.filter(F.pmod(F.col("text_key"), F.lit(BATCHES)) == b).select("ck"))
-    repeated = scratch.write(family.repeated(), "repeated")
-    found = scratch.write(join_groups(units, repeated, ["ck"], "rows").filter(F.col("rows").isNotNull()).drop("rows"), "found")
-    scratch.drop("anchors", *[k for k in scratch.paths if k.startswith("level-")])
+    index = family or index_batches(docs, scratch.path("family"))
+    repeated = scratch.write(index.repeated(), "repeated")
+    found = scratch.write(join_groups(index.units(), repeated, ["ck"], "rows").filter(F.col("rows").isNotNull()).drop("rows"), "found")
+    if not family:
+        scratch.drop("family")
 
     every, unlike = _refine(scratch, found, 1)
     for level, block in ((2, BLOCK), (3, 1)):
@@ -275,10 +337,10 @@ def _without(text: bytes, spans: list[dict]) -> tuple[bytes, int]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), len(runs)
 
 
-def clean_texts(docs: DataFrame) -> DataFrame:
+def clean_texts(docs: DataFrame, family: SuffixFamily | None = None) -> DataFrame:
     """doc_id, text_key and kept (bytes: a cut may fall inside a character) of every row."""
     scratch = Scratch(docs.sparkSession, "cleaned")
-    known, spans = find_repeats(docs, scratch)
+    known, spans = find_repeats(docs, scratch, family)
     lists = spans.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("items"))
     rows = known.groupBy("text_key").agg(F.count(F.lit(1)).alias("rows"))
     groups = scratch.write(rows.join(lists, "text_key", "left"), "groups")
@@ -293,10 +355,10 @@ def clean_texts(docs: DataFrame) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, family: SuffixFamily | None = None) -> DataFrame:
     """doc_id, text_key, n_bytes, n_removed, n_spans (maximal runs) and kept_sha256 of every row."""
     scratch = Scratch(docs.sparkSession, "suffixes")
-    known, spans = find_repeats(docs, scratch)
+    known, spans = find_repeats(docs, scratch, family)
     texts = docs.sparkSession.read.schema(f"text_key bigint, rows bigint, rep_id {docs.schema['doc_id'].dataType.simpleString()}").parquet(scratch.paths["texts"])
     # equal texts go wholly by rule, so only texts that occur once are cut
     single = texts.filter("rows = 1").select(F.col("text_key").alias("_single"))

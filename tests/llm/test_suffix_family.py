@@ -79,16 +79,40 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     assert seen == Counter((k + 1, i) for k, t in enumerate(texts) for i in range(len(t) - sf.LENGTH + 1))
 
 
-def test_levels_grow_geometrically(spark):
-    from govlake.llm.common import Scratch
-
-    family = sf.SuffixFamily(Scratch(spark, "family"))
+def test_levels_grow_geometrically(spark, tmp_path):
     orders = []
     for _ in range(5):
-        family.add(spark.range(10).selectExpr("id as ck"))
-        orders.append([o for o, _, _ in family.levels])
+        family = sf.SuffixFamily(spark, f"file://{tmp_path}/index")  # each batch in a call of its own
+        family.enter(spark.range(10).selectExpr("id as head", "id as ck"))
+        orders.append([o for o, _ in family.levels])
     assert orders == [[0], [1], [1, 0], [2], [2, 0]]
     assert family.repeated().count() == 10
+    assert sum(r.rows for _, name in family.levels for r in family.level(name).collect()) == 50
+
+
+def test_batches_of_separate_calls_give_the_rows_of_one_call(spark, tmp_path):
+    rows = build(3)
+    for b in range(3):
+        sf.SuffixFamily(spark, f"file://{tmp_path}/index").add(frame(spark, rows[b::3]))
+    family = sf.SuffixFamily(spark, f"file://{tmp_path}/index")
+    assert family.batches == 3 and [o for o, _ in family.levels] == [1, 0]
+    got = sorted((tuple(r) for r in sf.remove_repeats(frame(spark, rows), family).drop("text_key").collect()), key=repr)
+    assert got == [x[:5] for x in brute(rows)]
+    family.add(frame(spark, []))  # an empty batch changes nothing
+    again = sf.SuffixFamily(spark, f"file://{tmp_path}/index")
+    assert again.batches == 4 and again.repeated().count() == family.repeated().count() > 0
+
+
+def test_levels_are_in_byte_order(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    texts = [prose(random.Random(i), 900) for i in range(4)]
+    family = sf.SuffixFamily(spark, f"file://{tmp_path}/index")
+    family.add(frame(spark, [(i, t, None, None, 0, 0, 0, True, 0) for i, t in enumerate(texts)]))
+    heads = {t.encode()[i : i + 8] for t in texts for i in range(len(t.encode()) - 7)}
+    files = list((tmp_path / "index" / family.levels[0][1]).glob("*.parquet"))
+    shown = [[(h + (1 << 63)).to_bytes(8, "big") for h in pq.read_table(f)["head"].to_pylist()] for f in files]
+    assert sum(map(len, shown)) > 50 and all(run == sorted(run) and heads.issuperset(run) for run in shown)
 
 
 def test_empty_table(spark):
