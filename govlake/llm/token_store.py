@@ -21,11 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,13 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from govlake.llm.common import Scratch, free, join_groups, map_arrow, running_totals, slices
+from govlake.llm.common import Scratch, free, join_groups, map_arrow, running_totals
 
 #: Ids a chunk: at least, at most; the rolling hash looks at ``SPAN`` ids and cuts once in 2**CUT_BITS.
 LEAST, MOST, SPAN, CUT_BITS = 128, 4096, 16, 9
 SEGMENT_BITS = 20
 #: Words encoded in one call, characters of texts taken together.
 TOGETHER, SLICE = 200, 12 << 20
+#: Words whose ids a worker remembers, some 40 bytes each; beyond that it starts again.
+KNOWN_WORDS = 1_000_000
 SEEN_DIGESTS = 200_000
 
 _rng = np.random.default_rng(20_240_101)
@@ -77,8 +78,8 @@ class Encoder:
 
     A byte-level pre-tokenizer always starts a new word at a single space between two other
     characters, at a line feed and after it, and at a punctuation mark that follows a letter. So a
-    slice of texts is cut there, each distinct word is encoded once (many in one call, line
-    feeds between), and the ids are gathered. Texts with other white space are cut at their safe
+    slice of texts is cut there, each distinct word that the last slices did not have is encoded
+    (many in one call, line feeds between), and the ids are gathered. Texts with other white space are cut at their safe
     spaces only. Texts that hold an added token, and all texts of other kinds of tokenizers, go whole.
     """
 
@@ -94,6 +95,7 @@ class Encoder:
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not made.get("normalizer") and all(len(x) == 1 for x in single.values())
         self.marks = {c: x[0] for c, x in single.items() if x}
         self.added = [x["content"] for x in made.get("added_tokens", [])]
+        self.known, self.sizes, self.pool = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -118,7 +120,8 @@ class Encoder:
         first = lists.offsets.to_numpy()[:-1]
         coded = lists.flatten().dictionary_encode()
         codes, pieces = coded.indices.to_numpy(), coded.dictionary
-        heads = pieces.take(pa.array(codes[first])).to_pylist()  # without a space before: encoded by themselves
+        heads = pieces.take(pa.array(codes[first])).dictionary_encode()  # without a space before: encoded by themselves
+        alone = [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(heads.dictionary.to_pylist(), add_special_tokens=False)]
 
         # a piece is a line feed (or not), a word, a punctuation mark (or not)
         line = pc.starts_with(pieces, "\n")
@@ -127,8 +130,8 @@ class Encoder:
         marked = pc.and_(pc.is_in(last, pa.array(list(_PUNCTUATION), pa.large_string())), pc.and_(pc.utf8_is_alpha(before), pc.less(before, _LATIN_END)))
         word = pc.if_else(marked, pc.utf8_slice_codeunits(body, 0, -1), body)
         named = pc.if_else(line, pc.binary_join_element_wise(*[pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("\n", word, "")]), word).dictionary_encode()
-        which, words = named.indices.to_numpy(), named.dictionary.to_pylist()
-        sizes, pool = self._words(words)
+        which = named.indices.to_numpy()
+        sizes, places, pool = self._words(named.dictionary)
 
         line, marked = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (line, marked))
         own = sizes[which]
@@ -136,7 +139,7 @@ class Encoder:
         start = _starts(lengths)
         ids = np.empty(int(lengths.sum()), self.dtype)
         ids[start[line > 0]] = self.marks["\n"]
-        ids[_gather(ids, start + line, own)] = pool[_gather(pool, _starts(sizes)[which], own)]
+        ids[_gather(ids, start + line, own)] = pool[_gather(pool, places[which], own)]
         at = np.flatnonzero(marked)
         ids[start[at] + lengths[at] - 1] = [self.marks[c] for c in last.take(pa.array(at)).to_pylist()]
 
@@ -144,26 +147,43 @@ class Encoder:
         each[first] = 0
         stream = ids[_gather(ids, start[codes], each)]
         bounds = [*_starts(each)[first].tolist(), len(stream)]
-        return [self.whole(h) + stream[a:b].tobytes() for h, a, b in zip(heads, bounds, bounds[1:])]  # noqa: B905
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of ids of words, and their ids; a word after a line feed begins with it, others follow a space."""
-        sizes, runs = np.zeros(len(words), np.int64), []
+        return [alone[h] + stream[a:b].tobytes() for h, a, b in zip(heads.indices.to_pylist(), bounds, bounds[1:])]  # noqa: B905
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of ids of words, where they begin, and the ids of all known words; what earlier slices had is looked up."""
+        found = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        fresh = found < 0
+        if fresh.any():
+            new = words.filter(pa.array(fresh))
+            sizes, pool = self._encode(new.to_pylist())
+            if len(self.known) + len(new) > KNOWN_WORDS:  # start again, with this slice's words
+                old = found[~fresh]
+                ids = _gather(self.pool, _starts(self.sizes)[old], self.sizes[old])
+                self.known, self.sizes, self.pool = self.known.take(pa.array(old)), self.sizes[old], self.pool[ids]
+                found[~fresh] = np.arange(len(old))
+            found[fresh] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, pool])
+        return self.sizes[found], _starts(self.sizes)[found], self.pool
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of distinct words, and their ids; a word after a line feed begins with it, others follow a space."""
+        sizes = np.zeros(len(words), np.int64)
         kinds = [i for i, w in enumerate(words) if w and w[0] != "\n"], [i for i, w in enumerate(words) if w[:1] == "\n" and len(w) > 1]
+        calls = []
         for kind, (before, skip) in zip(kinds, ((" ", 0), ("", 1)), strict=True):
-            for i in range(0, len(kind), TOGETHER):
-                some = kind[i : i + TOGETHER]
-                ids = np.array(self.ids("\n".join([before + words[k][skip:] for k in some])), dtype=self.dtype)
-                feeds = np.flatnonzero(ids == self.marks["\n"])
-                if len(feeds) != len(some) - 1:
-                    raise ValueError("the tokenizer joins line feeds with other text")
-                sizes[some] = np.diff(feeds, prepend=-1, append=len(ids)) - 1
-                runs.append((some, np.delete(ids, feeds)))
-        pool = np.empty(int(sizes.sum()), self.dtype)
-        start = _starts(sizes)
-        for some, ids in runs:
-            pool[_gather(pool, start[some], sizes[some])] = ids
-        return sizes, pool
+            calls += ["\n".join([before + words[k][skip:] for k in kind[i : i + TOGETHER]]) for i in range(0, len(kind), TOGETHER)]
+        feed = self.marks.get("\n", -1)
+        stream = np.array([x for e in self.tokenizer.encode_batch_fast(calls, add_special_tokens=False) for x in (*e.ids, feed)], dtype=self.dtype)
+        ends, order = stream == feed, [*kinds[0], *kinds[1]]
+        at, pool = np.flatnonzero(ends), stream[~ends]
+        if len(at) != len(order):
+            raise ValueError("the tokenizer joins line feeds with other text")
+        in_order = np.diff(at, prepend=-1) - 1
+        sizes[order] = in_order
+        places = np.zeros(len(words), np.int64)
+        places[order] = _starts(in_order)
+        return sizes, pool[_gather(pool, places, sizes)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -172,22 +192,24 @@ _encoders: dict[str, Encoder] = {}
 def _encoder(content: str) -> Encoder:
     key = hashlib.sha256(content.encode()).hexdigest()
     if key not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _encoders[key] = Encoder(content)
     return _encoders[key]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a stream of ids, by a rolling hash of the last ``SPAN`` ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    gear = _GEAR[ids & 0xFFFF]
-    rolled = gear.copy()
-    for k in range(1, SPAN):
-        rolled[k:] += gear[:-k] << np.uint64(k)
-    marks = np.flatnonzero((rolled >> np.uint64(SPAN + 8)) & np.uint64((1 << CUT_BITS) - 1) == 0) + 1
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the last ``SPAN`` ids would cut, in ascending order."""
+    rolled, span = _GEAR[ids & 0xFFFF], 1
+    while span < SPAN:  # each step doubles the ids that a hash has seen
+        longer = rolled.copy()
+        longer[span:] += rolled[:-span] << np.uint64(span)
+        rolled, span = longer, 2 * span
+    return np.flatnonzero((rolled >> np.uint64(SPAN + 8)) & np.uint64((1 << CUT_BITS) - 1) == 0) + 1
+
+
+def _ends(marks: list[int], n: int) -> list[int]:
     ends, last = [], 0
-    for m in [*marks.tolist(), n]:
+    for m in [*marks, n]:
         while m - last > MOST:
             last += MOST
             ends.append(last)
@@ -199,6 +221,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of a stream of ids, by a rolling hash of the last ``SPAN`` ids."""
+    return _ends(_marks(ids).tolist(), len(ids)) if len(ids) > LEAST else [len(ids)]
+
+
 def merkle(digests: list[bytes]) -> bytes:
     level = [hashlib.sha256(b"\0" + d).digest() for d in digests]
     while len(level) > 1:
@@ -222,11 +249,9 @@ def _cut_documents(docs: DataFrame, content: str, end_id: int, width_type: str)
 
         out, encoder, seen = to_arrow_schema(typed), _encoder(shared.value), set()
         pid, number = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            streams = (raw for a, b in slices([len(t) for t in texts], SLICE) for raw in encoder.encode_all(texts[a:b]))
+        for ids, texts in _together(batches):
             rows, size = [], 0
-            for doc_id, raw in zip(ids, streams, strict=True):
+            for doc_id, raw in zip(ids, encoder.encode_all(texts), strict=True):
                 raw += end
                 stream = np.frombuffer(raw, dtype=width_type)
                 ends, wide, digests, last = cuts(stream), stream.itemsize, [], 0
@@ -240,7 +265,7 @@ def _cut_documents(docs: DataFrame, content: str, end_id: int, width_type: str)
                         rows.append((1, digest, None, None, None, None, None, data))
                         size += len(data)
                     last = e
-                rows.append((0, struct.pack("<qq", pid, number), doc_id, len(stream), merkle(digests), digests, ends, None))
+                rows.append((0, struct.pack("<qq", pid, number), doc_id, ends[-1], merkle(digests), digests, ends, None))
                 number += 1
                 if size > 4 << 20:
                     yield _batch(rows, out)
@@ -251,27 +276,23 @@ def _cut_documents(docs: DataFrame, content: str, end_id: int, width_type: str)
     return docs.select("doc_id", "text").mapInArrow(run, typed)
 
 
-def _batch(rows: list[tuple], out: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
-
-
-def _once(df: DataFrame) -> DataFrame:
-    """Of the chunk rows of a digest, which one task holds, the first."""
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """doc_ids and texts of ``SLICE`` characters at least, whatever batches they come in; one text alone may be longer."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        more = [t or "" for t in batch.column("text").to_pylist()]
+        ids += batch.column("doc_id").to_pylist()
+        texts += more
+        size += sum(map(len, more))
+        if size >= SLICE:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
-    schema = df.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes: dict[bytes, int] = {}  # of this task's partition only
-        for batch in batches:
-            keep = []
-            lengths = pc.binary_length(batch.column("data")).to_pylist()
-            for kind, key, size in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), lengths, strict=True):
-                keep.append(kind == 0 or key not in sizes)
-                if kind and sizes.setdefault(key, size) != size:
-                    raise ValueError("two chunks have one digest")
-            yield batch.filter(pa.array(keep, type=pa.bool_()))
-
-    return df.mapInArrow(run, schema)
+def _batch(rows: list[tuple], out: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
 
 @dataclass
@@ -311,7 +332,8 @@ def write_store(docs: DataFrame, tokenizer_file: str, end_id: int = 0, path: str
     width_type = Encoder(content).dtype
     store = TokenStore(spark, path, docs.schema["doc_id"].dataType.simpleString(), int(width_type[2]))
     rows = _cut_documents(docs, content, end_id, width_type)
-    _once(rows.repartition("key")).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/streams")
+    # one shuffle: the keys of recipes are their own, chunks of equal digest meet, and a sort of each partition finds them
+    rows.repartition("key").dropDuplicates(["key"]).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/streams")
     free(spark)
     streams = spark.read.schema(T.StructType([f for f in rows.schema if f.name != "data"])).parquet(f"{path}/streams").filter("kind = 0")
     flat = streams.select("doc_id", "n_tokens", "root", "digests", "ends")

@@ -85,3 +85,22 @@ def test_damage_is_found(spark):
     bad = ts.TokenStore(spark, store.path, store.id_type, 4)  # another width: other ids
     with pytest.raises(Exception, match="length|match|multiple"):
         ts.read_documents(bad).collect()
+
+
+def test_marks_look_at_the_last_ids_only():
+    ids = np.random.default_rng(8).integers(0, 50_000, 40_000).astype("<u2")
+    gear = ts._GEAR[ids.astype(np.int64)]
+    slow = sum(np.concatenate([np.zeros(k, np.uint64), gear[: len(gear) - k] << np.uint64(k)]) for k in range(ts.SPAN))
+    assert ts._marks(ids).tolist() == (np.flatnonzero((slow >> np.uint64(ts.SPAN + 8)) & np.uint64((1 << ts.CUT_BITS) - 1) == 0) + 1).tolist()
+
+
+def test_known_words_and_their_renewal(plain, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ts, "KNOWN_WORDS", 50)
+    encoder, rng = ts.Encoder(open(FILE, encoding="utf-8").read()), random.Random(5)
+    for _ in range(12):
+        texts = [" ".join(rng.choice(["ab", "ünd", "x1y"]) + rng.choice("pqrstu") * rng.randrange(4) + rng.choice(["", ",", "\n"]) + rng.choice(["", "z"]) for _ in range(30)) for _ in range(rng.randrange(1, 4))]
+        for t, got in zip(texts, encoder.encode_all(texts), strict=True):
+            assert np.frombuffer(got, encoder.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+        assert len(encoder.known) == len(encoder.sizes) and int(encoder.sizes.sum()) == len(encoder.pool)
