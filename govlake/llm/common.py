@@ -9,12 +9,14 @@ folder is used.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch between the JVM and a Python worker.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
 
+#: Measured bytes up to which a table is broadcast.
+FEW_BYTES = 16 << 20
+
 _own: dict[str, str] = {}
+_bases: set[str] = set()
+
+
+def _clear() -> None:
+    """What this process has written into the shared folder goes when it ends, also after a failure."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for base in _bases:
+        with contextlib.suppress(Exception):  # the store may be out of reach by now
+            path = jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(conf).delete(path, True)
+
+
+atexit.register(_clear)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,11 +66,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one operator call; ``drop`` removes those that no later plan reads."""
+    """Written tables of one operator call; ``drop`` removes those that no later plan reads, the end of the process the rest.
+
+    The first one of a session sets the size of its Arrow batches (``BATCH_SETTING``).
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/govlake/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[str, str] = {}
+        _bases.add(self.base)
         if spark.conf.get(BATCH_SETTING, None) != BATCH_BYTES:  # texts are of any length: batches by bytes, not by rows alone
             spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
@@ -194,7 +219,7 @@ def running_totals(scratch: Scratch, df: DataFrame, order: list[Column], value:
     ends = ranged.groupBy(*keys).agg(F.max(F.col("_local") + F.col(value)).alias("_sum"))
     w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = scratch.write(ends.withColumn("_offset", F.coalesce(F.sum("_sum").over(w), F.lit(0))).drop("_sum"), name + "-offsets")
-    few = offsets.count() <= 200_000  # one row per task and group: 8 MB at most
+    few = measured_bytes(offsets) <= FEW_BYTES  # one row per task and group
     mine = offsets.select(*[F.col(k).alias(f"_o{k}") for k in keys], "_offset")
     on = F.col("_pid") == F.col("_o_pid")
     if group:
@@ -202,9 +227,25 @@ def running_totals(scratch: Scratch, df: DataFrame, order: list[Column], value:
     return ranged.join(F.broadcast(mine) if few else mine, on, "left").withColumn("before", F.col("_local") + F.col("_offset")).drop("_pid", "_local", "_offset", *[f"_o{k}" for k in keys])
 
 
-def attach(left: DataFrame, groups: DataFrame, keys: list[str], rows: str, few: int = 200_000) -> DataFrame:
-    """``join_groups``, or one broadcast join where a count shows that ``groups`` (a written table) has few rows."""
-    if groups.limit(few + 1).count() > few:
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all values of a written table, as they lie in memory but for the rows' own overhead."""
+
+    def size(f: T.StructField, c: Column) -> Column:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(f.dataType, T.StructType):
+            return reduce(lambda a, b: a + b, [size(g, c[g.name]) for g in f.dataType], F.lit(16))
+        if isinstance(f.dataType, T.ArrayType):  # of numbers or short texts
+            return F.coalesce(F.size(c), F.lit(0)) * 32 + 16
+        return F.lit(8)
+
+    total = reduce(lambda a, b: a + b, [size(f, F.col(f"`{f.name}`")) for f in df.schema], F.lit(8))
+    return int(df.agg(F.sum(total.cast("long"))).first()[0] or 0)
+
+
+def attach(left: DataFrame, groups: DataFrame, keys: list[str], rows: str, few: int = FEW_BYTES) -> DataFrame:
+    """``join_groups``, or one broadcast join where ``groups`` (a written table) has few bytes, which are measured."""
+    if measured_bytes(groups) > few:
         return join_groups(left, groups, keys, rows)
     mine = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[F.col(c) for c in groups.columns if c not in keys])
     on = None
@@ -223,7 +264,13 @@ def keep_rows(docs: DataFrame, kept: DataFrame, also: list[str] | None = None) -
     """Rows of ``docs``, with all their columns, whose doc_id and text (by ``text_key``) are in ``kept``."""
     keys = ["doc_id", "text_key", *(also or [])]
     mine = kept.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
-    on = F.xxhash64(docs["text"]) == F.col("_k_text_key")
+    rows = packed(docs)
+    on = F.xxhash64("row.text") == F.col("_k_text_key")
     for k in ["doc_id", *(also or [])]:
-        on &= docs[k].eqNullSafe(F.col(f"_k_{k}"))
-    return docs.join(mine, on, "left_semi")
+        on &= F.col(f"row.{k}").eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(mine, on, "left_semi").select("row.*")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` in one column ``row``, so that no name of its columns clashes with another."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govlake.llm.common import Scratch, keep_rows
+from govlake.llm.common import Scratch, keep_rows, packed
 
 WINDOW = 13
 #: Word characters before lower-casing A-Z; listed one by one, they are looked up in a bit set.
@@ -132,9 +132,13 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 5)
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the hit words taken out of the texts; what stands between words stays."""
     hits = judge(docs, benchmark).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).distinct()
-    both = docs.join(hits, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left")
-    found, gaps = F.regexp_extract_all("text", F.lit(CASED), F.lit(0)), F.split("text", CASED, -1)
-    hit = lambda i: F.exists("_spans", lambda s: (s["first"] <= i) & (i < s["end"]))
-    word = lambda i: F.when((i < F.size(found)) & ~hit(i), F.get(found, i)).otherwise("")
-    cleaned = F.array_join(F.transform(gaps, lambda gap, i: F.concat(gap, word(i))), "")
-    return both.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns)
+    both = packed(docs).join(hits, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_key")), "left")
+    found, gaps = F.regexp_extract_all("row.text", F.lit(CASED), F.lit(0)), F.split("row.text", CASED, -1)
+    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("_spans", lambda s: F.array(s["first"], s["end"]))))
+    last = F.size(gaps)  # the gaps are one more than the words
+    # between two edges words stay, or only the gaps do
+    piece = lambda e, i: F.zip_with(F.slice(gaps, e + 1, F.get(stops, i) - e), F.slice(F.concat(found, F.array(F.lit(""))), e + 1, F.get(stops, i) - e), lambda gap, word: F.concat(gap, F.when(i % 2 == 0, word).otherwise("")))
+    stops = F.concat(F.slice(edges, F.lit(2), F.size(edges)), F.array(last))
+    cleaned = F.array_join(F.flatten(F.transform(edges, piece)), "")
+    text = F.when(F.col("_spans").isNull(), F.col("row.text")).otherwise(cleaned).alias("text")
+    return both.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -8,7 +8,8 @@ interchangeable, so the words taken stay within about one document of the target
 
 Nulls: a null text has no words; a null source is a source of its own, the last; a null doc_id is
 kept as it is. Rows that repeat are documents of their own. An empty table gives no rows. Other
-columns are ignored, whatever their names.
+columns are ignored by ``mix_sources`` and kept by ``mix_rows``, whatever their names. Texts of
+any length count as their number of words.
 """
 
 from __future__ import annotations
@@ -16,27 +17,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from govlake.llm.common import Scratch, attach, running_totals, word_count
+from govlake.llm.common import FEW_BYTES, Scratch, attach, measured_bytes, packed, running_totals, word_count
 
 OFFSET_BITS = 32
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
-    """source, source_size, n_docs -> plus weight and target, by water-filling.
+def source_targets(scratch: Scratch, sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """source, source_size, n_docs (a written table, one row per source) -> plus weight and target.
 
-    The rows are one per distinct source, not per document; the two windows below sort those.
+    Targets are ``level`` times the weight, ``cap`` times the size at most. Each round of water-filling
+    sums the sources over and under the present level, until no more are capped: aggregations only,
+    as sources may be as many as hosts. For the same reason few of them only are ranked in one task.
     """
-    ranked = sizes.withColumn("_i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_i") % len(weights) + 1).cast("int"))
-    ranked = ranked.withColumn("weight", weight).withColumn("_cap", F.col("source_size") * F.lit(float(cap))).withColumn("_full", F.col("_cap") / F.col("weight"))
-    order = Window.orderBy("_full", "_i")
-    everything = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    ranked = ranked.withColumn("_level", level).withColumn("_capped", F.col("_level") > F.col("_full"))
-    free = F.min(F.when(~F.col("_capped"), F.struct("_full", "_i", "_level"))).over(everything)["_level"]
-    return ranked.withColumn("target", F.when(F.col("_capped"), F.col("_cap")).otherwise(free * F.col("weight"))).select("source", "source_size", "n_docs", "weight", "target")
+    if measured_bytes(sizes) <= FEW_BYTES:
+        ranked = sizes.withColumn("before", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    else:
+        ranked = running_totals(scratch, sizes.withColumn("_one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], "_one", name="ranked").drop("_one")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("before") % len(weights) + 1).cast("int"))
+    known = scratch.write(ranked.withColumn("weight", weight).withColumn("_cap", F.col("source_size") * F.lit(float(cap))).drop("before"), "weights")
+    level, capped = 0.0, -1
+    over = lambda at: F.col("_cap") < F.lit(at) * F.col("weight")
+    while True:
+        some = over(level)
+        sums = known.agg(F.sum("source_size").alias("all"), F.sum(F.when(some, F.col("_cap")).otherwise(0.0)).alias("full"), F.sum(F.when(some, 0.0).otherwise(F.col("weight"))).alias("free"), F.count_if(some).alias("n")).first()
+        if sums.n == capped or not sums.free:
+            break
+        level, capped = ((sums["all"] * share - sums.full) / sums.free), sums.n
+    target = F.when(over(level), F.col("_cap")).otherwise(F.lit(level) * F.col("weight"))
+    return known.withColumn("target", target).select("source", "source_size", "n_docs", "weight", "target")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
@@ -47,8 +55,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     """
     scratch = Scratch(docs.sparkSession, "mix")
     sized = scratch.write(docs.select("doc_id", "source", word_count("text").alias("size"), F.lit(1).cast("long").alias("_one")), "sized")
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    targets = scratch.write(source_targets(sizes, weights, share, cap), "targets")
+    sizes = scratch.write(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), "sizes")
+    targets = scratch.write(source_targets(scratch, sizes, weights, share, cap), "targets")
     ranked = running_totals(scratch, sized, [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc()], "_one", "source")
     named = F.concat(F.lit(seed + "/"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     offset = F.conv(F.substring(F.md5(named), 1, OFFSET_BITS // 4), 16, 10).cast("double") / F.lit(float(2**OFFSET_BITS))
@@ -67,10 +75,10 @@ def mix_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     taken = mix_sources(docs, weights, share, cap, seed)
     copies = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     mine = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies", "_rows")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (word_count(docs["text"]) == F.col("_size"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & F.col("row.source").eqNullSafe(F.col("_source")) & (word_count("row.text") == F.col("_size"))
     # rows that share doc_id, source and size share their copies evenly, as all rows of the source do
-    row = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text")))
-    joined = docs.join(mine.hint("merge"), same)  # a row per document: never one to broadcast
+    row = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("row.text")))
+    joined = packed(docs).join(mine.hint("merge"), same)  # a row per document: never one to broadcast
     several = joined.filter("_rows > 1").withColumn("_n", F.floor((F.col("_copies") + row - 1) / F.col("_rows")).cast("int"))
     single = joined.filter("_rows = 1").withColumn("_n", F.col("_copies").cast("int"))
-    return single.unionByName(several).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select(*docs.columns)
+    return single.unionByName(several).select("row", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select("row.*")

@@ -85,3 +85,14 @@ def test_main_path_is_native(spark):
     df = dc.contamination(frame(spark, rows), spark.createDataFrame(items, BENCHMARK))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_spans_go_whatever_the_columns_are_called(spark):
+    rng = random.Random(11)
+    piece = prose(rng, 16)
+    texts = [f"{piece}", f"a, b {piece}! c", f"x {piece} y\n{piece}.", "nothing here", None, ""]
+    df = spark.createDataFrame([(i, t, "s", "k") for i, t in enumerate(texts)], "doc_id bigint, text string, _spans string, _key string")
+    cleaned = dc.remove_spans(df, spark.createDataFrame([(1, piece, 0)], BENCHMARK))
+    assert cleaned.columns == df.columns
+    gaps = " " * 15
+    assert [r.text for r in cleaned.orderBy("doc_id").collect()] == [gaps, f"a, b {gaps}! c", f"x {gaps} y\n{gaps}.", "nothing here", None, ""]

@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import defaultdict
 
@@ -21,6 +22,27 @@ def fill(sizes, weights, share, cap):
         capped |= over
 
 
+def copies(rows, seed="mix"):
+    """How often each document (ids do not repeat) is taken, one boundary after another."""
+    sizes, out = defaultdict(int), {}
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    targets = fill(sizes, (5, 2, 1), 1.5, 2.0)
+    for s in sizes:
+        named = f"{seed}/={s}" if s is not None else f"{seed}/null"
+        offset = int(hashlib.md5(named.encode()).hexdigest()[:8], 16) / 2**32
+        expected = targets[s] / sizes[s] if sizes[s] else 0.0
+        part = expected - math.floor(expected)
+        for i, r in enumerate(sorted((r for r in rows if r[3] == s), key=lambda r: (len(words(r[1])), r[0]))):
+            out[r[0]] = math.floor(expected) + math.floor((i + 1) * part + offset) - math.floor(i * part + offset)
+    return out
+
+
+def test_copies_against_brute_force(spark):
+    rows = [r for i, r in enumerate(awkward_rows()) if r[0] is not None and r[0] == i]
+    assert {r.doc_id: r.copies for r in mix_sources(frame(spark, rows)).collect()} == copies(rows)
+
+
 def test_against_brute_force(spark):
     rows = awkward_rows()
     got = mix_sources(frame(spark, rows)).collect()
@@ -55,3 +77,29 @@ def test_targets_sum_to_share(spark, n):
     rows = [(i, "w " * (i % 5 + 1) ** 3, None, f"s{i % n}", 0, 0, 0, True, 0) for i in range(200)]
     got = {r.source: (r.source_size, r.target) for r in mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert math.isclose(sum(t for _, t in got.values()), 1.5 * sum(s for s, _ in got.values()))
+
+
+def test_rows_of_the_mix_and_clashing_names(spark):
+    from govlake.llm.mixing import mix_rows
+
+    names = ("_n", "_copy", "_rows", "_copies", "_id", "_source", "_size", "row", "size", "copies", "before")
+    rows = [(i, "w " * (i % 7 + 1), "ab"[i % 2], *[f"{n}{i}" for n in names]) for i in range(40)]
+    rows += [rows[3], rows[3]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    mixed = mix_rows(df)
+    assert mixed.columns == df.columns
+    got = [tuple(r) for r in mixed.collect()]
+    taken = defaultdict(int)
+    for r in mix_sources(df).collect():
+        taken[r.doc_id] += r.copies
+    assert set(got) <= set(rows) and {d: sum(g[0] == d for g in got) for d in taken} == dict(taken)
+
+
+def test_many_sources_are_ranked_in_ranges(spark, monkeypatch):
+    from govlake.llm import mixing
+
+    rows = [(i, "w " * (i % 9 + 1), None, None if i % 50 == 0 else f"s{i % 50}", 0, 0, 0, True, 0) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    few = {(r.doc_id, r.target, r.taken) for r in mix_sources(df).collect()}
+    monkeypatch.setattr(mixing, "FEW_BYTES", 10)
+    assert {(r.doc_id, r.target, r.taken) for r in mix_sources(df).collect()} == few
