@@ -10,7 +10,8 @@ Of records with equal payloads of at least ``REVISIT_BYTES``, the one with the l
 
 Nulls: a null payload is empty, a null url leaves its header out; a null page_id loses against any
 other and reads back as null. Rows that repeat, page_id included, give equal records. An empty
-table gives an empty archive. Other columns are ignored, whatever their names.
+table gives an empty archive. Other columns are ignored, whatever their names. Payloads may hold any
+bytes; a payload is one value, so it has to fit a row. Page ids of any characters read back as they were.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from govlake.llm.common import Scratch, attach
 
 REVISIT_BYTES = 1000
 EOL = "\r\n"
-URN = "urn:x-page:"
+URN, NO_URN = "urn:x-page:", "urn:x-no-page"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -49,7 +50,7 @@ class Archive:
 
 
 def _field(name: str, value: Column) -> Column:
-    """A header line; none where the value is null. White space in values cannot end the line."""
+    """A header line; none where the value is null. White space and control characters in values cannot end the line."""
     clean = F.regexp_replace(value, r"[\x00-\x20\x7F]", "%20")
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit(EOL)), F.lit(""))
 
@@ -72,7 +73,7 @@ def write_archive(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", path: st
 
     known = attach(records, groups, ["key"], "rows")
     revisit = (F.col("bytes") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
-    urn = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
+    urn = lambda c: F.coalesce(F.concat(F.lit(f"<{URN}"), F.url_encode(c.cast("string")), F.lit(">")), F.lit(f"<{NO_URN}>"))
     header = F.concat(
         F.lit(f"WARC/1.1{EOL}"),
         _field("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
@@ -97,21 +98,23 @@ def _value(name: str) -> Column:
 
 
 def _page(urn: Column, id_type: str) -> Column:
-    return F.regexp_extract(urn, rf"^<{URN}(.*)>$", 1).try_cast(id_type)
+    """The page_id in a record's name, as it was; null where the page had none."""
+    return F.when(urn.startswith(f"<{URN}"), F.url_decode(F.regexp_extract(urn, rf"^<{URN}(.*)>$", 1))).try_cast(id_type)
 
 
 def read_records(archive: Archive) -> DataFrame:
     """page_id, record_type, refers_to, payload_bytes, payload_digest of every record, the last two from the payload that it or its response holds."""
     scratch = Scratch(archive.spark, "records")
     records = scratch.write(
-        archive.headers.select(_page(_value("WARC-Record-ID"), archive.id_type).alias("page_id"), _value("WARC-Type").alias("record_type"), _page(_value("WARC-Refers-To"), archive.id_type).alias("refers_to"), _value("WARC-Payload-Digest").alias("_digest"), "key"),
+        archive.headers.select(_page(_value("WARC-Record-ID"), archive.id_type).alias("page_id"), _value("WARC-Type").alias("record_type"), _page(_value("WARC-Refers-To"), archive.id_type).alias("refers_to"), _value("WARC-Payload-Digest").alias("_digest"), _value("Content-Length").cast("long").alias("_length"), "key"),
         "heads",
     )
     used = records.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     facts = archive.payloads.select("key", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     known = scratch.write(facts.join(used, "key"), "facts")
     whole = attach(records, known, ["key"], "rows")
-    right = F.col("_digest").eqNullSafe(F.concat(F.lit("sha1:"), "payload_digest"))
+    block = F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))  # a revisit's is empty
+    right = F.col("_digest").eqNullSafe(F.concat(F.lit("sha1:"), "payload_digest")) & F.col("_length").eqNullSafe(block)
     checked = F.when(right, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record does not match its payload")))
     out = scratch.write(whole.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to"), "records")
     scratch.drop("heads", "facts")
@@ -123,15 +126,18 @@ def reconstruct(archive: Archive) -> DataFrame:
     return archive.headers.join(archive.payloads, "key").select("header", "payload")
 
 
-def export_warc(archive: Archive, path: str, gzip: bool = True) -> None:
-    """WARC files, a part per task: the text writer's separator is what ends a record."""
-    block = F.when(_value("WARC-Type") == "revisit", F.lit("")).otherwise(F.decode("payload", "UTF-8"))
-    records = reconstruct(archive).select(F.concat(F.decode("header", "UTF-8"), block).alias("value"))
-    records.write.option("lineSep", EOL + EOL).option("compression", "gzip" if gzip else "none").text(path)
+def export_warc(archive: Archive, path: str, gzip: bool = True, most_records: int = 20_000) -> None:
+    """WARC files of at most ``most_records`` records: the text writer's separator is what ends a record, and it writes bytes as they are."""
+    block = F.when(_value("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    records = reconstruct(archive).select(F.concat("header", block).cast("string").alias("value"))
+    records.write.option("maxRecordsPerFile", most_records).option("lineSep", EOL + EOL).option("compression", "gzip" if gzip else "none").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """header and block of every record in the files below ``path``, cut by Content-Length."""
+    """header and block of every record in the files below ``path``, cut by Content-Length.
+
+    A file is one row and is unpacked in memory, so files have to be of moderate size (``export_warc`` bounds their records).
+    """
     import gzip as gz
     import re
 

@@ -69,3 +69,27 @@ def test_damage_is_found(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.read_records(warc.write_archive(spark.createDataFrame([], PAGES))).collect() == []
+
+
+def test_ids_and_payloads_of_any_characters(spark, tmp_path):
+    ids = ["a b", "a%20b", "a+b", "", "none", "<x>\r\n", "ü/é?", None]
+    body = [bytes(range(256)) * (i + 1) for i in range(4)]
+    rows = [(p, "u", body[i % 4]) for i, p in enumerate(ids)]
+    made = warc.write_archive(spark.createDataFrame(rows, "page_id string, url string, html binary"))
+    got = {r.page_id: (r.payload_digest, r.record_type, r.refers_to) for r in warc.read_records(made).collect()}
+    assert got.keys() == set(ids)
+    for page, _, data in rows:
+        same = max(p for p, _, d in rows if d == data and p is not None)
+        revisit = len(data) >= 1000 and page != same
+        assert got[page] == (hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", same if revisit else None)
+    warc.export_warc(made, str(tmp_path / "out"), most_records=3)
+    blocks = sorted(bytes(r.block) for r in warc.read_warc(spark, str(tmp_path / "out")).collect())
+    assert blocks == sorted(d if got[p][1] == "response" else b"" for p, _, d in rows)
+
+
+def test_a_wrong_length_is_found(spark, tmp_path):
+    good = warc.write_archive(spark.createDataFrame(build()[:5], PAGES), path=str(tmp_path / "a"))
+    good.payloads.write.parquet(str(tmp_path / "c/payloads"))
+    good.headers.selectExpr("cast(replace(decode(header, 'UTF-8'), 'Content-Length: ', 'Content-Length: 9') as binary) as header", "key").write.parquet(str(tmp_path / "c/headers"))
+    with pytest.raises(Exception, match="does not match"):
+        warc.read_records(warc.Archive(spark, str(tmp_path / "c"), "bigint")).collect()
