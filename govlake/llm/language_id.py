@@ -8,13 +8,13 @@ winner's sum over the worst possible sum.
 
 Profiles are counted over all training texts: tasks sum their n-grams by language, so what is
 shuffled is one row per task, language and distinct n-gram, and the top of a language is taken per
-hash part first. What is broadcast is ``PROFILE`` numbers per language, at most
-``LANGUAGES`` of them.
+hash part first. What is broadcast is ``PROFILE`` n-grams per language, of about ``LANGUAGES``
+languages at a time: more of them take more models, through which the texts pass in turn.
 
 Nulls: a null text or one without letters is ``und`` with score 0; rows with a null language are
 never learned from. Rows that repeat are learned from and judged one by one. An empty table gives
 no rows, and without training rows every text is ``und``. Columns besides doc_id, text and lang
-are ignored, whatever their names.
+are ignored, whatever their names. A text's n-grams are counted whole, in memory some 60 times its length.
 """
 
 from __future__ import annotations
@@ -123,50 +123,62 @@ def learn_profiles(training: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Profiles as arrays: for every n-gram of any profile its place in each language's."""
+    """Profiles as arrays: the places of each n-gram in the languages whose profiles have it."""
 
     def __init__(self, rows: list[tuple[str, int, int]]):
         self.langs = sorted({r[0] for r in rows})
-        self.keys = np.array(sorted({r[1] for r in rows}), np.int64)
-        self.places = np.full((len(self.keys) + 1, len(self.langs)), -1, np.int64)
         number = {name: i for i, name in enumerate(self.langs)}
-        for name, key, place in rows:
-            self.places[np.searchsorted(self.keys, key), number[name]] = place
+        rows = sorted(rows, key=lambda r: r[1])
+        self.keys, self.starts = np.unique(np.array([r[1] for r in rows], np.int64), return_index=True)
+        self.starts = np.append(self.starts, len(rows))
+        self.lang, self.place = np.array([number[r[0]] for r in rows], np.int32), np.array([r[2] for r in rows], np.int32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         own = profile(text) if text and self.langs else np.empty(0, np.int64)
         if not len(own):
             return UNKNOWN, 0.0
         at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-        at = np.where(self.keys[at] == own, at, len(self.keys))
-        there = self.places[at]
-        cost = np.where(there < 0, PROFILE, np.abs(there - np.arange(len(own))[:, None])).sum(axis=0)
+        mine = np.flatnonzero(self.keys[at] == own)  # what no profile has costs the same in all
+        first, size = self.starts[at[mine]], self.starts[at[mine] + 1] - self.starts[at[mine]]
+        entry = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        saved = PROFILE - np.abs(self.place[entry] - np.repeat(mine, size))
+        cost = PROFILE * len(own) - np.bincount(self.lang[entry], saved, len(self.langs))
         best = int(np.argmin(cost))
         return self.langs[best], float(1 - cost[best] / (PROFILE * len(own)))
 
 
-def fit(training: DataFrame) -> Model:
-    profiles = learn_profiles(training)
-    rows = profiles.limit(LANGUAGES * PROFILE + 1).collect()
-    if len(rows) > LANGUAGES * PROFILE:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    return Model([tuple(r) for r in rows])
+def fit(training: DataFrame) -> list[Model]:
+    """Models of at most some ``LANGUAGES`` languages each; one, unless there are more of them."""
+    scratch = Scratch(training.sparkSession, "profiles")
+    profiles = scratch.write(learn_profiles(training), "profiles")
+    blocks = -(-profiles.select("lang").distinct().count() // LANGUAGES) or 1
+    part = F.pmod(F.xxhash64("lang"), F.lit(blocks))
+    models = [Model([tuple(r) for r in profiles.filter(part == b).collect()]) for b in range(blocks)]
+    scratch.drop()
+    return models
 
 
-def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def predict_languages(docs: DataFrame, models: list[Model]) -> DataFrame:
+    """doc_id, lang_pred and score of every row of ``docs`` (doc_id, text): the best of all models, ties to the name that sorts first."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    for model in models:  # texts go from one to the next
+        shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
+        def run(batch: pa.RecordBatch, shared=shared) -> dict:
+            found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
+            held = zip(batch.column("lang_pred").to_pylist(), batch.column("score").to_pylist(), strict=True)
+            best = [f if h[0] == UNKNOWN or f[0] != UNKNOWN and (-f[1], f[0]) < (-h[1], h[0]) else h for f, h in zip(found, held, strict=True)]
+            return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "lang_pred": [x[0] for x in best], "score": [x[1] for x in best]}
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+        last = model is models[-1]
+        rows = map_arrow(rows, run, f"doc_id {id_type}, {'' if last else 'text string, '}lang_pred string, score double")
+    return rows
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learned from the rows that are not held out."""
     Scratch(docs.sparkSession, "languages")
     held = is_held_out(F.col("doc_id"))
-    model = fit(docs.filter(~held).select("text", "lang"))
-    return predict_languages(docs, model).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    models = fit(docs.filter(~held).select("text", "lang"))
+    return predict_languages(docs, models).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -84,3 +84,25 @@ def test_awkward_rows_and_no_training(spark):
     none = [(*r[:2], None, *r[3:]) for r in rows]
     assert {r.lang_pred for r in li.identify(frame(spark, none)).collect()} == {"und"}
     assert li.identify(frame(spark, [])).collect() == []
+
+
+def test_winner_and_score_against_brute_force(spark, monkeypatch):
+    rows = [r[:9] for r in corpus(120)] + [(900, "zz 12 9", "aa", "s", 0, 0, 0, True, 0), (901, "q", None, "s", 0, 0, 0, True, 0), (902, "lor ão kras ip ç tov", None, "s", 0, 0, 0, True, 0)]
+
+    def ranked(c):
+        return [g for g, _ in sorted(((number(g), n) for g, n in c.items()), key=lambda x: (-x[1], x[0]))[: li.PROFILE]]
+
+    counts = {}
+    for r in rows:
+        if r[2] and zlib.crc32(str(r[0]).encode()) % 5:
+            counts.setdefault(r[2], Counter()).update(brute_grams(r[1]))
+    known = {lang: {g: i for i, g in enumerate(ranked(c))} for lang, c in counts.items()}
+    expected = {}
+    for r in rows:
+        own = ranked(brute_grams(r[1]))
+        far = {lang: sum(abs(place[g] - i) if g in place else li.PROFILE for i, g in enumerate(own)) for lang, place in known.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        expected[r[0]] = (best, round(1 - far[best] / (li.PROFILE * len(own)), 9))
+    for most in (li.LANGUAGES, 1):  # in one model, and in several that texts pass in turn
+        monkeypatch.setattr(li, "LANGUAGES", most)
+        assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in li.identify(frame(spark, rows)).collect()} == expected
