@@ -18,7 +18,8 @@ is doubled and a control string gets a backslash after its ``<``; dropping the b
 character undoes both. The loss mask is a list of spans (code points) over the formatted string.
 
 Nulls: null texts and roles are empty, a null turn comes first, a null seq counts as 0, null
-conv_ids form one conversation. Events equal in turn, seq and kind go by role, then text; repeated
+conv_ids form one conversation. An event of any other kind, or of none, counts as a message, before
+those of its turn and seq that are known. Very long texts make very long rows. Events equal in turn, seq and kind go by role, then text; repeated
 events all count. An empty log gives no rows. Other columns are ignored, whatever their names.
 """
 

@@ -63,3 +63,44 @@ def test_awkward_rows_and_no_ratings(spark):
         assert len(got) == len(rows)
         assert all(not r.kept for r in got if r.doc_id is not None and not (rows[r.doc_id][1] or "").split())
     assert qc.classify(frame(spark, []), labels).collect() == []
+
+
+def test_fit_and_scores_against_brute_force(spark):
+    """The fitted point is the least of the penalised likelihood, written out; scores follow from it."""
+    import math
+
+    rng = random.Random(4)
+    texts, grades = [], []
+    for _ in range(240):
+        grade = rng.choice([0, 1, 2, 2])
+        texts.append(np.array(sorted({rng.randrange(3) + 3 * grade if rng.random() < 0.7 else rng.randrange(9) for _ in range(3)}), np.int32))
+        grades.append(grade)
+    model = qc.OrdinalModel.fit(texts, np.array(grades))
+
+    def loss(weights, thresholds):
+        total = qc.SHRINK * sum(w * w for w in weights) / 2
+        for t, g in zip(texts, grades, strict=True):
+            below = [0.0, *[1 / (1 + math.exp(-(c - sum(weights[k] for k in t)))) for c in thresholds], 1.0]
+            total -= math.log(below[g + 1] - below[g]) / len(texts)
+        return total
+
+    weights, thresholds = [float(w) for w in model.weights[:9]], [float(c) for c in model.thresholds]
+    assert not model.weights[9:].any() and np.count_nonzero(model.weights[:9]) >= 6
+    found = loss(weights, thresholds)
+    learned = [i for i in range(9) if weights[i]]  # the others were screened out
+    for i in [*learned, "a", "b"]:
+        for step in (-0.1, 0.1):
+            w, c = list(weights), list(thresholds)
+            if i == "a" or i == "b":
+                c["ab".index(i)] += step
+            else:
+                w[i] += step
+            assert loss(w, c) > found - 1e-5, i
+
+    rows = [(i, t, "en", "s", 0, 0, 0, True, 0) for i, t in enumerate(["alpha beta", "beta, GAMMA beta", "", None, "delta"])]
+    made = qc.OrdinalModel(np.random.default_rng(5).normal(size=qc.DIMENSIONS).astype(np.float32), np.array([-0.5, 0.7]))
+    for r in qc.score_documents(frame(spark, rows), made).collect():
+        score = sum(float(made.weights[k]) for k in qc.features((rows[r.doc_id][1] or "").encode()))
+        chances = [1 / (1 + math.exp(-(score - c))) for c in (-0.5, 0.7)]
+        assert math.isclose(r.p_good, chances[1], rel_tol=1e-5) and math.isclose(r.expected_grade, sum(chances), rel_tol=1e-5)
+        assert r.kept == (chances[1] >= 0.3 and bool((rows[r.doc_id][1] or "").split()))
