@@ -127,9 +127,9 @@ def give_back() -> None:
         pass
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with a function from a batch to columns (a dict of lists or arrays)."""
-    typed = T._parse_datatype_string(schema)
+    typed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -260,15 +260,22 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, also: list[str] | None = None) -> DataFrame:
+def _same_document(kept: DataFrame) -> tuple[DataFrame, Column]:
+    """doc_id and text_key of ``kept`` under names of their own, and the condition that a packed row is one of them."""
+    mine = kept.select(F.col("doc_id").alias("_k_doc_id"), F.col("text_key").alias("_k_text_key"))
+    return mine, (F.xxhash64("row.text") == F.col("_k_text_key")) & F.col("row.doc_id").eqNullSafe(F.col("_k_doc_id"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs``, with all their columns, whose doc_id and text (by ``text_key``) are in ``kept``."""
-    keys = ["doc_id", "text_key", *(also or [])]
-    mine = kept.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
-    rows = packed(docs)
-    on = F.xxhash64("row.text") == F.col("_k_text_key")
-    for k in ["doc_id", *(also or [])]:
-        on &= F.col(f"row.{k}").eqNullSafe(F.col(f"_k_{k}"))
-    return rows.join(mine, on, "left_semi").select("row.*")
+    mine, same = _same_document(kept)
+    return packed(docs).join(mine, same, "left_semi").select("row.*")
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text are not in ``gone`` (a written table): texts move only where it is too large to be broadcast."""
+    mine, same = _same_document(gone)
+    return packed(docs).join(F.broadcast(mine) if measured_bytes(gone.select("doc_id", "text_key")) <= FEW_BYTES else mine, same, "left_anti").select("row.*")
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govlake.llm.common import Scratch, keep_rows, packed
+from govlake.llm.common import Scratch, drop_rows, packed
 
 WINDOW = 13
 #: Word characters before lower-casing A-Z; listed one by one, they are looked up in a bit set.
@@ -126,7 +126,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 5) -> Da
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 5) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    return keep_rows(docs, contamination(docs, benchmark, percent).filter(~F.col("contaminated")))
+    gone = contamination(docs, benchmark, percent).filter("contaminated").select("doc_id", "text_key").distinct()
+    return drop_rows(docs, Scratch(docs.sparkSession, "contaminated").write(gone, "gone"))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -18,14 +18,21 @@
    rarest shingles (as many as the smaller overlap allows to miss, and one) must meet; so
    pairs between components are listed only where such prefixes do, outside the largest
    component that holds the shingle, and tested as before. No link between components is
-   lost, and copies of one original, alike but not linked, do not list each other.
+   lost. Classes of one component never list each other; classes of several components do, where
+   they share a shingle that is among the rarest of both and their sizes allow a link.
 
 The result has the exact connected components of all links among candidates.
 
 Nulls: a null or blank text has no shingles and is linked with nothing; fewer words than a shingle
-make one shingle of the whole sequence. A null doc_id counts after all others. Rows that repeat are
-in one class. Rows sharing a doc_id are told apart by text. An empty table gives no rows. Columns
-besides doc_id and text are ignored, or kept as they are by ``drop_near_duplicates``.
+make one shingle of the whole sequence. A null doc_id counts after all others, so a component has a
+null id only where all its rows have. Rows that repeat are in one class. Rows sharing a doc_id are
+told apart by text. An empty table gives no rows. Columns besides doc_id and text are ignored, or
+kept as they are by ``drop_near_duplicates``. A text's set of shingles is one row, 8 bytes a shingle.
+
+``kept`` says that a row bears its component's id; where ids repeat, several rows of one component
+do. ``drop_near_duplicates`` keeps one row of each component all the same: of its smallest doc_id
+that whose text has the smallest hash, and of rows that repeat that one any. Texts without words
+are linked with nothing, so all of them stay.
 """
 
 from __future__ import annotations
@@ -39,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from govlake.llm.common import Scratch, attach, blobs, join_groups, keep_rows, map_arrow
+from govlake.llm.common import Scratch, attach, blobs, drop_rows, join_groups, keep_rows, map_arrow
 from govlake.llm.components import connected
 
 REGISTER_BITS, MANTISSA_BITS = 8, 10
@@ -308,10 +315,9 @@ def _components(scratch: Scratch, members: DataFrame, verifier: _Verifier) -> Da
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id (smallest doc_id reachable) and kept of every row of ``docs`` (doc_id, text)."""
+    """doc_id, text_key, n_shingles, component_id (smallest doc_id reachable), kept and first (the text that stands for the component) of every row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.write(_describe(docs, shingle), "rows")
-    id_type = docs.schema["doc_id"].dataType
     some = rows.filter("n > 0")
     classes = some.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"), F.max("registers").alias("registers"))
     classes = scratch.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -327,18 +333,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     nodes = scratch.write(classes.join(members.select("node").distinct(), "node", "left_semi"), "nodes")
     comps = _components(scratch, members, _Verifier(scratch, nodes, docs, shingle, percent))
 
-    named = nodes.select("node", F.when(~F.col("rep.no_id"), F.col("rep.doc_id")).cast(id_type).alias("doc_id")).join(comps, "node")
-    least = scratch.write(named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")), "least")
-    placed = attach(comps, least, ["comp"], "rows").select("node", "component_id")
-    final = classes.join(placed, "node", "left").select("set_key", "rows", F.coalesce("component_id", "rep.doc_id").alias("component_id"))
-    final = scratch.write(final, "final")
-    whole = join_groups(some.select("doc_id", "text_key", "n", "set_key"), final, ["set_key"], "rows").select("doc_id", "text_key", "n", "component_id")
-    whole = whole.union(rows.filter("n = 0").select("doc_id", "text_key", "n", "doc_id"))
-    out = scratch.write(whole.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "out")
+    least = scratch.write(nodes.select("node", "rep").join(comps, "node").groupBy("comp").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("rows")), "least")
+    placed = attach(comps, least, ["comp"], "rows").select("node", "first")
+    final = classes.join(placed, "node", "left").select("set_key", "rows", F.coalesce("first", "rep").alias("first"))
+    final = scratch.write(final.select("set_key", "rows", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("first_key")), "final")
+    whole = join_groups(some.select("doc_id", "text_key", "n", "set_key"), final, ["set_key"], "rows").select("doc_id", "text_key", "n", "component_id", "first_key")
+    whole = whole.union(rows.filter("n = 0").select("doc_id", "text_key", "n", "doc_id", "text_key"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    out = scratch.write(whole.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), (kept & (F.col("text_key") == F.col("first_key"))).alias("first")), "out")
     scratch.drop(*[k for k in scratch.paths if k != "out"])
     return out
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with all their columns."""
-    return keep_rows(docs, near_duplicates(docs, shingle, percent).filter("kept"))
+    """One row of ``docs`` for each group, with all its columns."""
+    rows, scratch = near_duplicates(docs, shingle, percent), Scratch(docs.sparkSession, "dropped")
+    pairs = rows.filter("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.bool_and("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    gone = scratch.write(pairs.filter("n > 1 OR NOT first"), "gone")
+    others = drop_rows(docs, gone)
+    again = gone.filter("first")  # rows that repeat: any one of them stays
+    return others.unionByName(keep_rows(docs, again).dropDuplicates(["doc_id", "text"])) if again.limit(1).count() else others

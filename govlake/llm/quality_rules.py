@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from govlake.llm.common import Scratch, attach, blobs, keep_rows, map_arrow
+from govlake.llm.common import Scratch, attach, blobs, map_arrow, packed
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -94,8 +95,10 @@ def measures(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _base(batch: pa.RecordBatch) -> dict:
-    rows = [measures(t) for t in blobs(batch.column("text"))]
-    return dict(zip(BASE, map(list, zip(*rows, strict=True)), strict=True)) | {c: batch.column(c) for c in batch.schema.names if c != "text"}
+    names = batch.schema.names
+    texts = batch.column("text") if "text" in names else batch.column("row").field("text")
+    rows = [measures(t) for t in blobs(texts)]
+    return dict(zip(BASE, map(list, zip(*rows, strict=True)), strict=True)) | {c: batch.column(c) for c in names if c != "text"}
 
 
 def bucket(v: Column) -> Column:
@@ -140,11 +143,10 @@ def thresholds(base: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(fences, "thresholds")
 
 
-def _judged(docs: DataFrame, carried: list[Column], scratch: Scratch) -> DataFrame:
-    """Base measures, base_failed and kept; ``carried`` columns come along."""
-    rows = docs.select(*carried, "text")
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"], *[f"{c} bigint" for c in BASE]])
-    base = map_arrow(rows, _base, schema)
+def _judged(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Base measures, base_failed and kept of rows with lang, source and a text, which may stand in a packed ``row``; all other columns come along."""
+    carried = T.StructType([f for f in rows.schema if f.name != "text"])
+    base = map_arrow(rows, _base, T.StructType([*carried, *[T.StructField(c, T.LongType()) for c in BASE]]))
     rate = lambda c, unit: (F.col(c) + unit) * SCALE / (F.col("n_words") + PRIOR_WORDS)
     scaled = {"m_length": F.col("word_chars") * SCALE / F.greatest(F.col("n_words"), F.lit(1)), **{m: rate(c, unit) for m, (c, unit) in EVENTS.items()}}
     base = scratch.write(base.withColumns({m: F.floor(v).cast("long") for m, v in scaled.items()}), "base")
@@ -159,12 +161,13 @@ def _judged(docs: DataFrame, carried: list[Column], scratch: Scratch) -> DataFra
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (a hash of the text), lang, source, the five base measures, base_failed and kept for every row of ``docs`` (doc_id, text, lang, source)."""
     scratch = Scratch(docs.sparkSession, "rules")
-    judged = _judged(docs, [F.col("doc_id"), F.xxhash64("text").alias("text_key"), F.col("lang"), F.col("source")], scratch)
+    judged = _judged(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "lang", "source", "text"), scratch)
     out = scratch.write(judged.select("doc_id", "text_key", "lang", "source", *BASE, "base_failed", "kept"), "judged")
     scratch.drop(*[k for k in scratch.paths if k != "judged"])
     return out
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    return keep_rows(docs, quality_rules(docs).filter("kept"), ["lang", "source"])
+    """The rows of ``docs`` that the rules keep, with all their columns; rows are written beside their measures once, and no text is shuffled."""
+    rows = packed(docs).select("row", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"))
+    return _judged(rows, Scratch(docs.sparkSession, "good")).filter("kept").select("row.*")

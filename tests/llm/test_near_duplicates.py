@@ -142,3 +142,28 @@ def test_estimates_hardly_ever_reject_a_link():
             found, error = nd.estimates(nd.sketch(a)[None], nd.sketch(b)[None], np.array([len(a)]), np.array([len(b)]))
             worst = min(worst, float((found[0] + nd.DOUBT * error[0] - 0.8) / error[0]))
         assert worst > 0.5, size
+
+
+def test_large_sets_against_brute_force(spark):
+    """Sets on both sides of the size at which all registers of a sketch are in use."""
+    rng = random.Random(9)
+    texts = []
+    for n in (600, 1000, 1200, 1400, 1700, 2000, 2500, 3000):
+        base = [f"w{n}x{i}" for i in range(n)]
+        for share in (0.0, 0.04, 0.05, 0.055, 0.06, 0.1):  # two-word shingles: a changed word costs two
+            copy = list(base)
+            for i in rng.sample(range(n), int(n * share)):
+                copy[i] = f"c{rng.randrange(10**9)}"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base + [f"t{i}" for i in range(n // 5)]))
+    rows = [(i, t, None, None, 0, 0, 0, True, 0) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    assert got(frame(spark, rows), 2) == brute(rows, 2)
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = "one two three four five six seven", "eight nine ten eleven twelve", "thirteen fourteen fifteen sixteen seventeen"
+    near = a + " " + a
+    texts = [(1, a), (1, a), (1, a.upper()), (2, a), (None, b), (None, b), (None, b.upper()), (3, None), (3, None), (4, c), (5, near)]
+    rows = [(d, t, "x", str(i), 0, 0, 0, True, 0) for i, (d, t) in enumerate(texts)]
+    kept = nd.drop_near_duplicates(frame(spark, rows), 5).collect()
+    assert sorted((repr(r.doc_id), (r.text or "").lower()) for r in kept) == sorted([("1", a), ("None", b), ("3", ""), ("3", ""), ("4", c), ("5", near)])
