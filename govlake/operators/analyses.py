@@ -51,6 +51,10 @@ def owners_in_contracts(people: DataFrame, partners: DataFrame, contracts: DataF
     return joined.groupBy("person_id", "name", "company_id").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count(F.lit(1)).cast("long").alias("items"), F.round(F.sum("value"), 4).alias("total"))
 
 
+#: Layers of an investigation in the order of search (fixed values).
+LAYERS = ("company", "establishments", "partners", "bids", "contracts", "payments", "donations")
+
+
 def investigate(layers: list[tuple[str, DataFrame, Column, Column]]) -> DataFrame:
     """Rows of several tables about one entity: (name, table, condition, what to show) in order of search."""
     found = [df.filter(cond).select(F.lit(i).alias("layer"), F.lit(name).alias("source"), shown.cast("string").alias("finding")) for i, (name, df, cond, shown) in enumerate(layers, 1)]

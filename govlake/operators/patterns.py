@@ -18,10 +18,19 @@ from pyspark.sql import functions as F
 from govlake.functions.scalars import company_root, safe_div
 
 
+#: Stems that mark works in a contract's subject (fixed value).
+WORKS = "obra|constru|reform|engenhari|paviment|demoli"
+
+
 def _count() -> Column:
     return F.count(F.lit(1)).cast("long")
 
 
+def top(found: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    """The first ``n`` findings of a published report, or all of them."""
+    return found if n is None else found.orderBy(*order).limit(n)
+
+
 @dataclass(frozen=True)
 class SplitLimits:
     """Direct-purchase limits: up to ``change_year`` the older one (fixed values)."""
@@ -85,17 +94,18 @@ def always_winner(bids: DataFrame, least_rate: float | str = 80.0, least_bidders
     """Bidders that win at least ``least_rate`` percent, or with "q3" more than the third quartile of all rates."""
     rates = win_rates(bids, least_bidders, least_bids)
     if least_rate == "q3":
-        third = rates.agg(F.expr("percentile(win_rate, 0.75)").alias("third")).first()["third"]
-        return rates.filter(F.col("win_rate") > F.lit(third)).withColumn("threshold", F.round(F.lit(third).cast("double"), 4))
+        third = rates.agg(F.expr("percentile(win_rate, 0.75)").cast("double").alias("_third"))  # one row, of rates with two decimals: 10,001 values at most
+        above = rates.join(F.broadcast(third), F.col("win_rate") > F.col("_third"))
+        return above.withColumn("threshold", F.round("_third", 4)).drop("_third")
     return rates.filter(F.col("win_rate") >= float(least_rate))
 
 
-def amendment_inflation(contracts: DataFrame, limit: float = 1.25, works_limit: float = 1.50, works: str = "obra|constru|reforma|engenharia|edifica|paviment", cap: float = 10.0) -> DataFrame:
-    """Contracts whose final value exceeds the legal growth of the initial one (more for works)."""
+def amendment_inflation(contracts: DataFrame, limit: float = 1.25, works_limit: float = 1.50, works: str = WORKS, cap: float = 10.0, most: int | None = None) -> DataFrame:
+    """Contracts whose final value exceeds the legal growth of the initial one (more for works); the ``most`` inflated, or all."""
     is_works = F.lower(F.coalesce("subject", F.lit(""))).rlike(works)
     ratio = safe_div("final_value", "initial_value")
     rows = contracts.filter(F.col("initial_value") > 0).withColumn("ratio", ratio).withColumn("legal_limit", F.when(is_works, works_limit).otherwise(limit))
-    return rows.filter((F.col("ratio") > F.col("legal_limit")) & (F.col("ratio") <= cap))
+    return top(rows.filter((F.col("ratio") > F.col("legal_limit")) & (F.col("ratio") <= cap)), most, F.col("ratio").desc())
 
 
 def newborn_company(establishments: DataFrame, contracts: DataFrame, least_value: float = 50_000.0, most_days: int = 180, root=company_root) -> DataFrame:
@@ -107,12 +117,12 @@ def newborn_company(establishments: DataFrame, contracts: DataFrame, least_value
     return founded.join(first, "root").withColumn("days", days.cast("long")).filter(F.col("days") < most_days).withColumn("is_inconsistent", F.col("days") < 0)
 
 
-def sudden_surge(yearly: DataFrame, least_previous: float = 1_000_000.0, least_ratio: float = 5.0, first_only: bool = False) -> DataFrame:
-    """supplier, year, total -> years whose total is ``least_ratio`` times the year before's."""
+def sudden_surge(yearly: DataFrame, least_previous: float = 1_000_000.0, least_ratio: float = 5.0, first_only: bool = False, most: int | None = None) -> DataFrame:
+    """supplier, year, total -> years whose total is ``least_ratio`` times the year before's; the ``most`` sudden, or all."""
     w = Window.partitionBy("supplier").orderBy("year")
     rows = yearly.withColumn("previous_year", F.lag("year").over(w)).withColumn("previous", F.lag("total").over(w))
     rows = rows.withColumn("ratio", safe_div("total", F.nullif(F.col("previous"), F.lit(0.0))))
     found = rows.filter((F.col("year") - F.col("previous_year") == 1) & (F.col("previous") > 0) & (F.col("previous") >= least_previous) & (F.col("ratio") >= least_ratio))
     if first_only:
         found = found.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    return found
+    return top(found, most, F.col("ratio").desc(), F.col("supplier"), F.col("year"))

@@ -86,7 +86,7 @@ def test_indicator_ranges(spark):
     got = {r.market: r.hhi for r in indicators.hhi(df, ["market"], "firm", "v").collect()}
     assert got["m"] == 5000.0 and got["n"] == 10_000.0 and got["o"] is None
     equal = spark.createDataFrame([("g", float(i), 10.0) for i in range(4)] + [("h", 0.0, 0.0), ("h", 1.0, 100.0)], "g string, k double, v double")
-    gini = {r.g: r.gini for r in indicators.gini(equal, ["g"], "v", ["k"]).collect()}
+    gini = {r.g: r.gini for r in indicators.gini(equal, ["g"], "v").collect()}
     assert gini == {"g": 0.0, "h": 0.5}
 
 
@@ -111,3 +111,39 @@ def test_two_paths(spark):
     assert got == {1: True, 2: False, 3: False, 4: False}
     assert analyses.magnitude_flags(a, "v", 2.0, 9.0).filter("outlier").count() == 2
     assert F is not None
+
+
+def test_ranks_quantiles_and_shares_against_brute_force(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([5.0, 5.0, float(rng.randrange(300)), rng.random() * 1000]), i) for i in range(3000)] + [("c", 7.0, 9001), ("d", None, 9002)]
+    df = spark.createDataFrame(rows, "g string, v double, k int")
+    groups = {}
+    for g, v, _ in rows:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    ranked = {(r.g, r.v): (r._rows, r._before) for r in indicators.ranked_values(df, ["g"], "v", parts=8).collect()}
+    assert ranked == {(g, v): (vs.count(v), sum(x < v for x in vs)) for g, vs in groups.items() for v in set(vs)}
+    for q in (0.0, 0.25, 0.75, 1.0):
+        assert {r.g: r["quantile"] for r in indicators.quantile(df, ["g"], "v", q).collect()} == pytest.approx({g: float(np.quantile(vs, q)) for g, vs in groups.items()})
+
+    def gini(vs):
+        vs, n = sorted(vs), len(vs)
+        return round(2 * sum((i + 1) * v for i, v in enumerate(vs)) / (n * sum(vs)) - (n + 1) / n, 6)
+
+    assert {r.g: r.gini for r in indicators.gini(df, ["g"], "v").collect()} == pytest.approx({g: gini(vs) for g, vs in groups.items()}, abs=2e-6)
+    top = {r.g: r.top_share for r in indicators.topn_share(df.filter("v IS NOT NULL"), ["g"], "v", "k", 3).collect()}
+    assert top == pytest.approx({g: round(sum(sorted(vs)[-3:]) * 100 / sum(vs), 4) for g, vs in groups.items()}, abs=2e-4)
+
+
+def test_published_words_and_tops(spark):
+    rows = [contract(value=100.0, final=140.0, subject=s) for s in ("Demolição do muro", "Edificação nova", "serviços de engenharia", "REFORMULAR", None)]
+    found = patterns.amendment_inflation(frame(spark, rows))
+    assert {r.subject for r in found.collect()} == {"Edificação nova", None}
+    many = frame(spark, [contract(value=100.0, final=130.0 + i) for i in range(20)])
+    assert sorted(r.final_value for r in patterns.amendment_inflation(many, most=3).collect()) == [147.0, 148.0, 149.0]
+    yearly = spark.createDataFrame([(f"s{i}", y, 1e6 * (1 if y == 2019 else 6 + i)) for i in range(5) for y in (2019, 2020)], "supplier string, year int, total double")
+    assert [r.supplier for r in patterns.sudden_surge(yearly, most=2).collect()] == ["s4", "s3"]
