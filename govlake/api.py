@@ -1,8 +1,10 @@
 """A read-only HTTP query interface around one session.
 
 GET /query?q=... and POST /query (body: SQL) with the header X-Password return a JSON array of
-rows; a failing query returns {"error": ...} with status 200. GET /auth checks the day's cookie.
-Statements run side by side in Spark's fair pools; each is written to the audit log.
+all rows; a failing query returns {"error": ...} with status 200. Results pass through the driver,
+so ``spark.driver.maxResultSize`` is what bounds them. GET /auth checks the day's cookie and sends
+others to the login page. Statements run side by side, each in a fair pool of its own, and are
+written to the audit log.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import uuid
 from collections.abc import Callable
 from datetime import UTC, date, datetime, timedelta
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -18,7 +21,11 @@ from urllib.parse import parse_qs, urlparse
 from govlake.plans.sqlgate import Gate
 from govlake.sources.catalog import rows_as_json
 
-MOST_ROWS = 100_000
+LOGIN = (
+    "<!DOCTYPE html><html><head><title>Login</title></head><body>"
+    "<form method='post' action='/login'><label>Password <input type='password' name='password' autofocus></label> <button>Enter</button></form>"
+    "</body></html>"
+)
 
 
 def day_token(secret: str, day: date | None = None) -> str:
@@ -36,9 +43,8 @@ def answer(gate: Gate, sql: str, log: Callable[[str, str, bool, str | None], Non
     """The JSON payload for a statement."""
     error = None
     try:
-        rows = rows_as_json(gate.run(sql)).limit(MOST_ROWS + 1).collect()
-        if len(rows) > MOST_ROWS:
-            raise ValueError(f"more than {MOST_ROWS} rows; add a limit or aggregate")
+        gate.spark.sparkContext.setLocalProperty("spark.scheduler.pool", uuid.uuid4().hex)  # of this thread
+        rows = rows_as_json(gate.run(sql)).collect()
         out = "[" + ",".join(r.json for r in rows) + "]"
     except Exception as e:  # every failure is a payload
         error = str(e)
@@ -80,7 +86,10 @@ def make_server(gate: Gate, password: str, host: str = "127.0.0.1", port: int =
                 self._query(parse_qs(url.query).get("q", [""])[0])
             elif url.path == "/auth":
                 cookies = dict(c.strip().split("=", 1) for c in self.headers.get("Cookie", "").split(";") if "=" in c)
-                self._send(200 if valid_token(password, cookies.get("session", "")) else 401, "")
+                known = valid_token(password, cookies.get("session", ""))
+                self._send(200 if known else 302, "", headers=None if known else {"Location": "/login"})
+            elif url.path in ("/", "/login"):
+                self._send(200, LOGIN, "text/html; charset=utf-8")
             else:
                 self._send(404, json.dumps({"error": "not found"}))
 
@@ -91,7 +100,10 @@ def make_server(gate: Gate, password: str, host: str = "127.0.0.1", port: int =
             elif self.path == "/login":
                 given = parse_qs(body).get("password", [""])[0]
                 ok = hmac.compare_digest(given.encode(), password.encode())
-                self._send(200 if ok else 401, "", headers={"Set-Cookie": f"session={day_token(password)}; HttpOnly; SameSite=Strict"} if ok else None)
+                if ok:
+                    self._send(302, "", headers={"Set-Cookie": f"session={day_token(password)}; Path=/; HttpOnly; SameSite=Strict", "Location": "/"})
+                else:
+                    self._send(401, LOGIN, "text/html; charset=utf-8")
             else:
                 self._send(404, json.dumps({"error": "not found"}))
 

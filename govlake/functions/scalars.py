@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str
@@ -92,14 +92,33 @@ def cosine(a: ColumnLike, b: ColumnLike) -> Column:
 
 
 def value_text(x: ColumnLike, kind: str = "string") -> Column:
-    """A value as a result table shows it: null as NULL, bytes by their number."""
-    shown = F.concat(F.lit("<blob "), F.octet_length(_c(x)).cast("string"), F.lit(" bytes>")) if kind == "binary" else F.to_json(_c(x)) if kind.startswith(("struct", "map")) else _c(x).cast("string")
+    """A value as a result table shows it: null as NULL, bytes by their number, lists in brackets, intervals by months, days and nanoseconds."""
+    c = _c(x)
+    if kind == "binary":
+        shown = F.concat(F.lit("<blob "), F.octet_length(c).cast("string"), F.lit(" bytes>"))
+    elif kind.startswith("array<"):
+        shown = F.concat(F.lit("["), F.array_join(F.transform(c, lambda v: value_text(v, kind[6:-1])), ", "), F.lit("]"))
+    elif kind.startswith(("struct", "map")):
+        shown = F.to_json(c)
+    elif kind.startswith("interval year") or kind == "interval month":
+        months = F.extract(F.lit("YEAR"), c) * 12 + F.extract(F.lit("MONTH"), c)
+        shown = F.concat(months.cast("string"), F.lit("mo 0d 0ns"))
+    elif kind.startswith("interval"):
+        part = lambda p: F.extract(F.lit(p), c).cast("decimal(38,6)")
+        nanos = ((part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")) * 1_000_000_000).cast("decimal(38,0)")
+        shown = F.concat(F.lit("0mo "), F.extract(F.lit("DAY"), c).cast("string"), F.lit("d "), nanos.cast("string"), F.lit("ns"))
+    else:
+        shown = c.cast("string")
     return F.coalesce(shown, F.lit("NULL"))
 
 
-def csv_line(*columns: ColumnLike, separator: str = ",") -> Column:
-    """Columns as one line; null is empty."""
-    return F.concat_ws(separator, *[F.coalesce(_c(c).cast("string"), F.lit("")) for c in columns])
+def csv_line(*columns: ColumnLike, separator: str = ",", quoted: bool = False) -> Column:
+    """Columns as one line; null is empty. ``quoted`` puts fields that hold a separator, quote or line end in quotes."""
+    fields = [F.coalesce(_c(c).cast("string"), F.lit("")) for c in columns]
+    if quoted:
+        need = lambda f: f.contains(separator) | f.contains('"') | f.contains("\n") | f.contains("\r")
+        fields = [F.when(need(f), F.concat(F.lit('"'), F.replace(f, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(f) for f in fields]
+    return F.concat_ws(separator, *fields)
 
 
 def quote_text(x: ColumnLike) -> Column:
@@ -111,6 +130,16 @@ def strip_thinking(x: ColumnLike) -> Column:
     return F.trim(F.regexp_replace(_c(x), r"(?s)<think(?:ing)?>.*?</think(?:ing)?>", "\n"))
 
 
+#: Columns that identify persons, by name (fixed values); company ids are public.
+SENSITIVE = ("cpf", "cnpj_cpf_socio", "cpf_cnpj_contratado", "titulo_eleitoral")
+
+
+def mask_sensitive(df: DataFrame, columns: tuple[str, ...] = SENSITIVE) -> DataFrame:
+    """Person ids (eleven digits) of the named columns masked; company ids in them stay."""
+    some = {c: F.when(F.length(digits_only(c)) == 11, mask_person_id(c)).otherwise(F.col(c)) for c in df.columns if c.lower() in columns}
+    return df.withColumns(some) if some else df
+
+
 #: SQL functions for statements that users write, as native SQL bodies.
 SQL_FUNCTIONS = {
     "brl": "brl(x DOUBLE) RETURNS STRING RETURN concat('R$ ', translate(format_number(x, 2), ',.', '.,'))",

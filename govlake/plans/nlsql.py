@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import subprocess
 import textwrap
+import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -12,11 +16,14 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
+from govlake.functions.scalars import value_text
 from govlake.plans.sqlgate import Gate, Rejected
 
-#: Words a reply may begin with to count as a query (fixed values).
-QUERY_WORDS = ("SELECT", "WITH", "FROM", "VALUES", "SHOW", "DESCRIBE", "EXPLAIN")
+#: Words a reply may begin with to count as a query; the gate runs all of these.
+QUERY_WORDS = ("SELECT", "WITH", "FROM", "VALUES", "DESCRIBE", "EXPLAIN")
 MOST_TRIES = 3
+#: Seconds that a back-end may take.
+PATIENCE = 300
 
 PROMPT = textwrap.dedent("""\
     You write one Spark SQL query that answers a question about the tables below.
@@ -40,6 +47,71 @@ class CallableGenerator:
         return self.call(question, schema, prompt)
 
 
+@dataclass
+class CommandGenerator:
+    """A command that reads the whole prompt from its standard input and writes the reply."""
+
+    command: list[str]
+    patience: float = PATIENCE
+
+    def generate(self, question: str, schema: str, prompt: str) -> str:
+        done = subprocess.run(self.command, input=f"{prompt.strip()}\n\n{schema}\n\nQuestion: {question}\n\nSQL:", capture_output=True, text=True, timeout=self.patience, check=False)
+        if done.returncode:
+            raise RuntimeError(f"{self.command[0]} failed: {done.stderr.strip()}")
+        return done.stdout
+
+
+@dataclass
+class HttpGenerator:
+    """A JSON service: ``body`` makes the request from (system text, question), ``path`` leads to the reply's text."""
+
+    url: str
+    body: Callable[[str, str], dict]
+    path: tuple[str | int, ...]
+    headers: dict[str, str] = field(default_factory=dict)
+    patience: float = PATIENCE
+
+    def generate(self, question: str, schema: str, prompt: str) -> str:
+        data = json.dumps(self.body(f"{prompt.strip()}\n\nSchema:\n\n{schema}", question)).encode()
+        request = urllib.request.Request(self.url, data=data, headers={"Content-Type": "application/json", **self.headers}, method="POST")
+        with urllib.request.urlopen(request, timeout=self.patience) as reply:
+            found = json.loads(reply.read())
+        for key in self.path:
+            found = found[key]
+        return strip_fences(str(found))
+
+
+def contents_generator(base: str, model: str, key: str) -> HttpGenerator:
+    """Services that take ``contents`` of parts, with the system text apart."""
+    body = lambda system, question: {"system_instruction": {"parts": [{"text": system}]}, "contents": [{"parts": [{"text": question}]}]}
+    return HttpGenerator(f"{base}/models/{model}:generateContent", body, ("candidates", 0, "content", "parts", 0, "text"), {"X-goog-api-key": key})
+
+
+def chat_generator(base: str, model: str, key: str) -> HttpGenerator:
+    """Services that take chat messages."""
+    body = lambda system, question: {"model": model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": question}]}
+    return HttpGenerator(f"{base}/chat/completions", body, ("choices", 0, "message", "content"), {"Authorization": f"Bearer {key}"})
+
+
+def completion_generator(base: str, model: str) -> HttpGenerator:
+    """Local services that complete one prompt."""
+    body = lambda system, question: {"model": model, "prompt": f"{system}\n\nQuestion: {question}\n\nSQL:", "stream": False}
+    return HttpGenerator(f"{base}/api/generate", body, ("response",))
+
+
+def generator_from_environment(env: dict[str, str] | None = None) -> Generator:
+    """The back-end that ``SQL_GENERATOR`` names; addresses, models and keys come from the environment too, nothing is built in."""
+    env = dict(os.environ) if env is None else env
+    kind = env.get("SQL_GENERATOR", "contents")
+    made = {"contents": contents_generator, "chat": chat_generator, "completion": completion_generator}
+    if kind == "command":
+        return CommandGenerator(env["SQL_GENERATOR_COMMAND"].split())
+    if kind not in made:
+        raise ValueError(f"unknown SQL_GENERATOR {kind}; known: command, {', '.join(made)}")
+    given = [env["SQL_GENERATOR_URL"].rstrip("/"), env["SQL_GENERATOR_MODEL"]]
+    return made[kind](*given, *([] if kind == "completion" else [env["SQL_GENERATOR_KEY"]]))
+
+
 def strip_thinking(text: str) -> str:
     return re.sub(r"<think(?:ing)?>.*?</think(?:ing)?>", "\n", text, flags=re.S).strip()
 
@@ -72,6 +144,11 @@ def duration(seconds: float) -> str:
     return f"{int(seconds) // 60}m {int(seconds) % 60}s" if seconds >= 60 else f"{seconds:.2f}s"
 
 
+def stringify(df: DataFrame) -> DataFrame:
+    """Every value as text, as result tables show it."""
+    return df.select(*[value_text(f.name, f.dataType.simpleString()).alias(f.name) for f in df.schema])
+
+
 class State(Enum):
     INPUT = "input"
     GENERATING = "generating"

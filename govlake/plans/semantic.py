@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import subprocess
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -31,6 +33,20 @@ class HashingEmbedder:
         return [x / norm for x in out] if norm else out
 
 
+@dataclass
+class CommandEmbedder:
+    """A command that gets the text as its standard input and prints a JSON list of numbers: a real model in its own process."""
+
+    command: list[str]
+    patience: float = 300
+
+    def embed(self, text: str) -> list[float]:
+        done = subprocess.run(self.command, input=text, capture_output=True, text=True, timeout=self.patience, check=False)
+        if done.returncode:
+            raise RuntimeError(f"{self.command[0]} failed: {done.stderr.strip()}")
+        return [float(x) for x in json.loads(done.stdout)]
+
+
 def cosine_select(index: DataFrame, vector: Sequence[float], threshold: float = 0.35, top_k: int | None = None) -> DataFrame:
     """id and similarity of the entries at or above ``threshold``, best first; the question is a literal, not a join."""
     question = F.array(*[F.lit(float(x)) for x in vector])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govlake.functions.scalars import cosine, safe_div
+from govlake.functions.scalars import safe_div
 from govlake.operators import analyses, indicators, patterns
-from govlake.queries.base import WITH_K, K, Registry, Tables, bids, contracts, wide
+from govlake.plans import semantic
+from govlake.queries.base import WITH_K, Registry, Tables, bids, contracts, wide
 
 REGISTRY = Registry()
 q = REGISTRY.add
@@ -59,10 +60,26 @@ def winrate_q3(t: Tables) -> DataFrame:
     return patterns.always_winner(bids(t), "q3")
 
 
-@q("amendment_inflation", f"{WITH_K} SELECT l_orderkey AS contract_id, l_linenumber AS line, l_partkey AS part_id, l_suppkey AS supplier_id, round(vf / vi, 4) AS ratio, CASE WHEN regexp_matches(lower(p_name), 'ring|bolt') THEN 1.15::DOUBLE ELSE 1.10::DOUBLE END AS legal_limit FROM k WHERE vi > 0 AND vf / vi > CASE WHEN regexp_matches(lower(p_name), 'ring|bolt') THEN 1.15::DOUBLE ELSE 1.10::DOUBLE END AND vf / vi <= 10")
+_WORKS = "CASE WHEN regexp_matches(lower(subject), 'obra|constru|reform|engenhari|paviment|demoli') THEN 1.50::DOUBLE ELSE 1.25::DOUBLE END"
+_GROWN = f"{WITH_K}, g AS (SELECT l_orderkey AS contract_id, l_linenumber AS line, l_partkey AS part_id, l_suppkey AS supplier_id, 'Demolição de ' || p_name AS subject, vf * 1.3::DOUBLE / vi AS ratio FROM k WHERE vi > 0 AND l_partkey % 2 = 0 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Edificação: ' || p_name, vf * 1.3::DOUBLE / vi FROM k WHERE vi > 0 AND l_partkey % 2 = 1)"
+
+
+def _amended(t: Tables) -> DataFrame:
+    """Contracts whose final value has grown by three tenths more, half of them demolitions and half of them no works by the published words."""
+    kind = F.when(F.col("part_id") % 2 == 0, "Demolição de ").otherwise("Edificação: ")
+    return contracts(t).withColumn("subject", F.concat(kind, "subject")).withColumn("final_value", F.col("final_value") * 1.3)
+
+
+@q("amendment_inflation", f"{_GROWN} SELECT contract_id, line, part_id, supplier_id, round(ratio, 4) AS ratio, {_WORKS} AS legal_limit FROM g WHERE ratio > {_WORKS} AND ratio <= 10")
 def amendment_inflation(t: Tables) -> DataFrame:
-    found = patterns.amendment_inflation(contracts(t), limit=1.10, works_limit=1.15, works="ring|bolt")
-    return found.select("contract_id", "line", "part_id", "supplier_id", F.round("ratio", 4).alias("ratio"), "legal_limit")
+    """With the published limits and words."""
+    return patterns.amendment_inflation(_amended(t)).select("contract_id", "line", "part_id", "supplier_id", F.round("ratio", 4).alias("ratio"), "legal_limit")
+
+
+@q("amendment_inflation_top", f"{_GROWN} SELECT round(ratio, 6) AS ratio FROM g WHERE ratio > {_WORKS} AND ratio <= 10 ORDER BY ratio DESC LIMIT 100")
+def amendment_top(t: Tables) -> DataFrame:
+    """The published report: the hundred most inflated."""
+    return patterns.amendment_inflation(_amended(t), most=100).select(F.round("ratio", 6).alias("ratio"))
 
 
 @q("newborn_company", "WITH f AS (SELECT o_custkey AS root, min(o_orderdate::DATE) AS founded_on FROM orders GROUP BY 1), c AS (SELECT o_custkey AS root, min(l_shipdate::DATE) AS first_contract FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_extendedprice >= 50000 GROUP BY 1) SELECT f.root, strftime(founded_on, '%Y-%m-%d') AS founded_on, strftime(first_contract, '%Y-%m-%d') AS first_contract, date_diff('day', founded_on, first_contract)::BIGINT AS days, date_diff('day', founded_on, first_contract) < 0 AS is_inconsistent FROM f JOIN c ON f.root = c.root WHERE date_diff('day', founded_on, first_contract) < 180")
@@ -93,6 +110,13 @@ def surge_first_only(t: Tables) -> DataFrame:
     return _surge(t, True)
 
 
+@q("surge_top", f"SELECT ratio FROM ({_SURGE}) ORDER BY ratio DESC LIMIT 100")
+def surge_top(t: Tables) -> DataFrame:
+    """The published report: the hundred most sudden."""
+    yearly = t.orders.groupBy(F.col("o_custkey").alias("supplier"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("total"))
+    return patterns.sudden_surge(yearly, 100_000, 5.0, most=100).select(F.round("ratio", 4).alias("ratio"))
+
+
 # --- analyses ----------------------------------------------------------------------------
 
 
@@ -127,6 +151,12 @@ def company_integrity(t: Tables) -> DataFrame:
     return others.join(totals, F.col("l_suppkey") == F.col("s_suppkey")).select("s_suppkey", "s_name", "other_entities", F.round("v", 2).alias("total"))
 
 
+@q("company_integrity_top", "SELECT s.s_suppkey, s.s_name, round(max(v), 2) AS total FROM supplier s JOIN supplier s2 ON s.s_nationkey = s2.s_nationkey AND s2.s_suppkey <> s.s_suppkey JOIN (SELECT l_suppkey, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1) ON l_suppkey = s.s_suppkey GROUP BY 1, 2 HAVING count(DISTINCT s2.s_suppkey) > 2 ORDER BY max(v) DESC, 1 LIMIT 20")
+def company_integrity_top(t: Tables) -> DataFrame:
+    """The published report: the twenty largest totals."""
+    return patterns.top(company_integrity(t), 20, F.col("total").desc(), F.col("s_suppkey")).select("s_suppkey", "s_name", "total")
+
+
 @q("infrastructure_gap", "SELECT n_nationkey, n_name, n_regionkey, round(coalesce(s, 0) * 1000.0::DOUBLE / NULLIF(c, 0), 2) AS per_thousand FROM nation JOIN (SELECT c_nationkey, count(*)::BIGINT AS c FROM customer GROUP BY 1) ON n_nationkey = c_nationkey LEFT JOIN (SELECT s_nationkey, count(*)::BIGINT AS s FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey ORDER BY per_thousand, n_nationkey LIMIT 50")
 def infrastructure_gap(t: Tables) -> DataFrame:
     c = t.customer.groupBy("c_nationkey").agg(n_rows().alias("c"))
@@ -151,19 +181,26 @@ def spend_vs_contracts(t: Tables) -> DataFrame:
 
 @q("spend_vs_contracts_published", "SELECT o.o_custkey, round(sum(o.o_totalprice), 2) AS spent, round(sum(l_extendedprice), 2) AS contracts FROM orders o JOIN orders p ON o.o_custkey = p.o_custkey JOIN lineitem ON l_orderkey = p.o_orderkey WHERE year(l_shipdate) > year(o.o_orderdate) GROUP BY 1 HAVING sum(l_extendedprice) > 5000000")
 def spend_published(t: Tables) -> DataFrame:
-    """The published form: expenses and contracts meet many to many, so both sums count rows several times."""
-    o = t.orders.select("o_custkey", "o_totalprice", "o_orderdate")
-    items = t.lineitem.join(t.orders.select("o_orderkey", F.col("o_custkey").alias("k")), F.col("l_orderkey") == F.col("o_orderkey")).select("k", "l_shipdate", "l_extendedprice")
-    joined = o.join(items, (F.col("o_custkey") == F.col("k")) & (F.year("l_shipdate") > F.year("o_orderdate")))
-    out = joined.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spent"), F.sum("l_extendedprice").alias("contracts")).filter("contracts > 5000000")
+    """The published form counts rows several times, as expenses and contracts meet many to many.
+
+    Both are summed by year first, so a customer's years meet instead of its rows, and each sum
+    counts as often as the other side has rows.
+    """
+    o = t.orders.groupBy("o_custkey", F.year("o_orderdate").alias("since")).agg(F.sum("o_totalprice").alias("spent"), n_rows().alias("orders"))
+    items = t.lineitem.join(t.orders.select("o_orderkey", F.col("o_custkey").alias("k")), F.col("l_orderkey") == F.col("o_orderkey"))
+    yearly = items.groupBy("k", F.year("l_shipdate").alias("year")).agg(F.sum("l_extendedprice").alias("price"), n_rows().alias("items"))
+    joined = o.join(yearly, (F.col("o_custkey") == F.col("k")) & (F.col("year") > F.col("since")))
+    out = joined.groupBy("o_custkey").agg(F.sum(F.col("spent") * F.col("items")).alias("spent"), F.sum(F.col("price") * F.col("orders")).alias("contracts")).filter("contracts > 5000000")
     return out.select("o_custkey", F.round("spent", 2).alias("spent"), F.round("contracts", 2).alias("contracts"))
 
 
-@q("masked_identity_join", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON upper(substr(c_name, 1, 4)) = upper(substr(c_name, 1, 4)) AND substr(c_name, length(c_name) - 5, 6) = substr(s_name, length(s_name) - 5, 6)")
+@q("masked_identity_join", "SELECT c_custkey, s_suppkey FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON upper(a.n_name) = upper(b.n_name) JOIN supplier ON s_nationkey = b.n_nationkey AND lpad((c_custkey % 50)::VARCHAR, 6, '0') = lpad((s_suppkey % 50)::VARCHAR, 6, '0')")
 def masked_identity(t: Tables) -> DataFrame:
-    last = lambda c: F.substring(c, -6, 6)
-    people = t.customer.select("c_custkey", F.lit("name").alias("name"), F.concat(F.lit("000"), last("c_name"), F.lit("00")).alias("person_id"))
-    partners = t.supplier.select("s_suppkey", F.lit("NAME").alias("partner_name"), F.concat(F.lit("***"), last("s_name"), F.lit("**")).alias("partner_id"))
+    """Names in other case, ids masked on one side: both the name and the middle digits decide."""
+    digits = lambda c: F.lpad((F.col(c) % 50).cast("string"), 6, "0")
+    names = F.broadcast(t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")))  # a row per nation
+    people = t.customer.join(names, F.col("c_nationkey") == F.col("k")).select("c_custkey", F.lower("name").alias("name"), F.concat(F.lit("000"), digits("c_custkey"), F.lit("00")).alias("person_id"))
+    partners = t.supplier.join(names, F.col("s_nationkey") == F.col("k")).select("s_suppkey", F.upper("name").alias("partner_name"), F.concat(F.lit("***"), digits("s_suppkey"), F.lit("**")).alias("partner_id"))
     return analyses.masked_identity_join(people, partners).select("c_custkey", "s_suppkey")
 
 
@@ -176,13 +213,34 @@ def owners(t: Tables) -> DataFrame:
     return analyses.owners_in_contracts(people, partners, items)
 
 
-@q("investigate_entity", "SELECT 1 AS layer, 'company' AS source, s_name AS finding FROM supplier WHERE s_suppkey = 7 UNION ALL SELECT 2, 'partners', s_name FROM supplier WHERE s_nationkey = (SELECT s_nationkey FROM supplier WHERE s_suppkey = 7) AND s_suppkey <> 7 UNION ALL SELECT 3, 'bids', l_orderkey::VARCHAR FROM lineitem WHERE l_suppkey = 7 UNION ALL SELECT 4, 'contracts', l_orderkey::VARCHAR FROM lineitem WHERE l_suppkey = 7 AND l_returnflag = 'R'")
+_ENTITY = [
+    "SELECT 1 AS layer, 'company' AS source, s_name AS finding FROM supplier WHERE s_suppkey = 7",
+    "SELECT 2, 'establishments', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 7",
+    "SELECT 3, 'partners', s_name FROM supplier WHERE s_nationkey = (SELECT s_nationkey FROM supplier WHERE s_suppkey = 7) AND s_suppkey <> 7",
+    "SELECT 4, 'bids', l_orderkey::VARCHAR FROM lineitem WHERE l_suppkey = 7",
+    "SELECT 5, 'contracts', l_orderkey::VARCHAR FROM lineitem WHERE l_suppkey = 7 AND l_returnflag = 'R'",
+    "SELECT 6, 'payments', l_orderkey::VARCHAR FROM lineitem WHERE l_suppkey = 7 AND l_returnflag = 'R' AND l_linestatus = 'F'",
+    "SELECT 7, 'donations', o_orderkey::VARCHAR FROM orders WHERE o_custkey = 7",
+]
+
+
+@q("investigate_entity", " UNION ALL ".join(_ENTITY))
 def investigate_entity(t: Tables) -> DataFrame:
-    nation = t.supplier.filter("s_suppkey = 7").select(F.col("s_nationkey").alias("_n"))
-    partners = t.supplier.join(nation, F.col("s_nationkey") == F.col("_n"), "left_semi")
-    mine, line = F.col("l_suppkey") == 7, F.col("l_orderkey")
-    layers = [("company", t.supplier, F.col("s_suppkey") == 7, F.col("s_name")), ("partners", partners, F.col("s_suppkey") != 7, F.col("s_name")), ("bids", t.lineitem, mine, line), ("contracts", t.lineitem, mine & (F.col("l_returnflag") == "R"), line)]
-    return analyses.investigate(layers)
+    """From the company over its establishments, partners, bids, contracts and payments to its donations."""
+    home = F.broadcast(t.supplier.filter("s_suppkey = 7").select(F.col("s_nationkey").alias("_n")))  # one row
+    partners = t.supplier.join(home, F.col("s_nationkey") == F.col("_n"), "left_semi")
+    places = t.nation.join(home, F.col("n_nationkey") == F.col("_n"), "left_semi")
+    mine, won, line = F.col("l_suppkey") == 7, F.col("l_returnflag") == "R", F.col("l_orderkey")
+    found = {
+        "company": (t.supplier, F.col("s_suppkey") == 7, F.col("s_name")),
+        "establishments": (places, F.lit(True), F.col("n_name")),
+        "partners": (partners, F.col("s_suppkey") != 7, F.col("s_name")),
+        "bids": (t.lineitem, mine, line),
+        "contracts": (t.lineitem, mine & won, line),
+        "payments": (t.lineitem, mine & won & (F.col("l_linestatus") == "F"), line),
+        "donations": (t.orders, F.col("o_custkey") == 7, F.col("o_orderkey")),
+    }
+    return analyses.investigate([(name, *found[name]) for name in analyses.LAYERS])
 
 
 @q("magnitude_flags", "SELECT o_orderkey, o_totalprice, NOT (o_totalprice BETWEEN 1000 AND 250000) AS outlier FROM orders")
@@ -192,9 +250,11 @@ def magnitude(t: Tables) -> DataFrame:
 
 @q("cosine_select", "WITH v AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id::VARCHAR AS id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 4) AS similarity FROM embeddings, v WHERE list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) >= 0.35")
 def cosine_select(t: Tables) -> DataFrame:
-    question = t.embeddings.filter("vec_id = 0").select(F.col("embedding").alias("e"))  # one row
-    scored = t.embeddings.join(F.broadcast(question)).withColumn("s", cosine("embedding", "e")).filter("s >= 0.35")
-    return scored.select(F.col("vec_id").cast("string").alias("id"), F.round("s", 4).alias("similarity"))
+    """The question's vector is a literal, as it is where an embedder gives it."""
+    question = t.embeddings.filter("vec_id = 0").select("embedding").first()
+    index = t.embeddings.select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    found = semantic.cosine_select(index, question.embedding if question else [0.0], 0.35)
+    return found.select("id", F.round("similarity", 4).alias("similarity"))
 
 
 # --- indicators --------------------------------------------------------------------------
@@ -207,7 +267,7 @@ def hhi(t: Tables) -> DataFrame:
 
 @q("gini", "WITH r AS (SELECT c_nationkey, c_acctbal AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS i FROM customer WHERE c_acctbal >= 0) SELECT c_nationkey, round(2 * sum(i * v) / (count(*) * sum(v)) - (count(*) + 1.0::DOUBLE) / count(*), 6) AS gini FROM r GROUP BY 1")
 def gini(t: Tables) -> DataFrame:
-    return indicators.gini(t.customer, ["c_nationkey"], "c_acctbal", ["c_custkey"])
+    return indicators.gini(t.customer, ["c_nationkey"], "c_acctbal")
 
 
 @q("pearson_corr", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 4) AS r FROM lineitem GROUP BY 1")
@@ -233,5 +293,3 @@ def pp_difference(t: Tables) -> DataFrame:
     grouped = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name")
     return grouped.agg(F.round(indicators.rate(positive, inside) - indicators.rate(positive, ~inside), 2).alias("pp"))
 
-
-assert K

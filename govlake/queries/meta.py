@@ -15,9 +15,9 @@ REGISTRY = Registry()
 q = REGISTRY.add
 
 
-@q("brl_format", "WITH p AS (SELECT c_custkey, abs(c_acctbal) AS v FROM customer) SELECT c_custkey, 'R$ ' || replace(replace(replace(format('{:,.2f}', v), ',', '#'), '.', ','), '#', '.') AS money FROM p")
+@q("brl_format", "WITH p AS (SELECT c_custkey, c_acctbal AS v FROM customer) SELECT c_custkey, 'R$ ' || replace(replace(replace(format('{:,.2f}', v), ',', '#'), '.', ','), '#', '.') AS money FROM p")
 def brl_format(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", fn.brl(F.abs("c_acctbal")).alias("money"))
+    return t.customer.select("c_custkey", fn.brl("c_acctbal").alias("money"))
 
 
 @q("age_band", "SELECT CASE WHEN p_size <= 17 THEN '0-17' WHEN p_size <= 24 THEN '18-24' WHEN p_size <= 34 THEN '25-34' WHEN p_size <= 44 THEN '35-44' WHEN p_size <= 54 THEN '45-54' WHEN p_size <= 64 THEN '55-64' ELSE '65+' END AS band, count(*)::BIGINT AS n FROM part GROUP BY 1")
@@ -77,13 +77,15 @@ def text_cleanup(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", cleaned.alias("cleaned"), fn.quote_text(F.concat("source", F.lit("'"))).alias("quoted"))
 
 
-_EVENT_CLASS = "CASE WHEN event_type IN ('purchase', 'buy') THEN 'ACCESS_DENIED' WHEN event_type = 'view' THEN 'INCOMPATIBLE' ELSE 'RETRY' END"
+#: Messages of a transfer's log, one for each published word and some without any.
+_MESSAGES = ("Column type is Not Supported", "unsupported type x", "GEOGRAPHY column", "JSON type", "Access Denied: table", "permission denied", "user is not authorized", "HTTP 403", "Table does not exist", "404 Not found", "timeout", "connection reset", "incompatible versions")
 
 
-@q("classify_errors", f"SELECT {_EVENT_CLASS} AS class, count(*)::BIGINT AS n FROM events GROUP BY 1")
+@q("classify_errors", f"WITH m AS (SELECT ([{', '.join(repr(x) for x in _MESSAGES)}])[(doc_id % {len(_MESSAGES)} + 1)::INT] AS message FROM documents) SELECT message, CASE WHEN regexp_matches(message, 'not supported|unsupported type|GEOGRAPHY|JSON type', 'i') THEN 'INCOMPATIBLE' WHEN regexp_matches(message, 'access denied|permission denied|not authorized|403|does not exist|Not found', 'i') THEN 'ACCESS_DENIED' ELSE 'RETRY' END AS class, count(*)::BIGINT AS n FROM m GROUP BY 1, 2")
 def classify_errors(t: Tables) -> DataFrame:
-    message = F.when(F.col("event_type").isin("purchase", "buy"), "Access Denied: table").when(F.col("event_type") == "view", "GEOGRAPHY is not supported").otherwise("timeout")
-    return t.events.groupBy(ingest.classify(message).alias("class")).agg(F.count(F.lit(1)).cast("long").alias("n"))
+    words = F.array(*[F.lit(x) for x in _MESSAGES])
+    rows = t.documents.select(F.get(words, (F.col("doc_id") % len(_MESSAGES)).cast("int")).alias("message"))
+    return rows.groupBy("message", ingest.classify(F.col("message")).alias("class")).agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
 # --- registry: the fixture tables as datasets by their first letter ------------------------

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from govlake.functions.scalars import percent, safe_div
 from govlake.operators.analyses import decode, two_path_check
-from govlake.operators.indicators import share_of_total, topn_share, yoy_change
+from govlake.operators.indicators import quantile, share_of_total, topn_share, yoy_change
+from govlake.plans.sqlgate import Gate
 from govlake.queries.base import WITH_K, Registry, Tables, wide
 
 REGISTRY = Registry()
@@ -84,7 +85,8 @@ def case_when(t: Tables) -> DataFrame:
 
 @q("where_alias", "SELECT * FROM (SELECT o_orderkey, o_totalprice * 1.1::DOUBLE AS grown FROM orders) WHERE grown > 250000")
 def where_alias(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", (F.col("o_totalprice") * 1.1).alias("grown")).filter("grown > 250000")
+    """An alias in WHERE, through the gate."""
+    return Gate(t.spark, roots=(t.dir,)).run(f"SELECT o_orderkey, o_totalprice * 1.1D AS grown FROM parquet.`{t.dir}/orders.parquet` WHERE grown > 250000")
 
 
 @q("literal_relation", "WITH lim(ano, limit_value) AS (VALUES (1996, 17600.0::DOUBLE), (1997, 57912.0::DOUBLE)) SELECT lim.ano, limit_value, count(*)::BIGINT AS n FROM orders JOIN lim ON year(o_orderdate) = lim.ano WHERE o_totalprice > limit_value GROUP BY ALL")
@@ -140,15 +142,24 @@ def self_join_prev_year(t: Tables) -> DataFrame:
     return a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("b.ano") == F.col("a.ano") - 1)).select("a.o_custkey", F.round("a.total", 2).alias("total"), F.round("b.total", 2).alias("before"))
 
 
-@q("self_join_inequality", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")
+@q("self_join_inequality", "SELECT a.s_suppkey, count(*)::BIGINT AS others, min(b.s_suppkey) AS first_other, max(b.s_suppkey) AS last_other FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1")
 def self_join_inequality(t: Tables) -> DataFrame:
-    a, b = t.supplier.alias("x"), t.supplier.alias("y")
-    return a.join(b, (F.col("x.s_nationkey") == F.col("y.s_nationkey")) & (F.col("x.s_suppkey") != F.col("y.s_suppkey"))).select(F.col("x.s_suppkey").alias("a"), F.col("y.s_suppkey").alias("b"))
+    """What a row's pairs with the others of its group come to, from the group's two first and two last keys instead of its pairs."""
+    w = lambda order: Window.partitionBy("s_nationkey").orderBy(order)
+    ends = lambda order, n: F.row_number().over(w(order)).alias(n)
+    keys, key = t.supplier.select("s_nationkey", "s_suppkey"), F.col("s_suppkey")
+    first = keys.select("*", ends(key.asc(), "i")).filter("i <= 2").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("a"), F.max("s_suppkey").alias("b"))
+    last = keys.select("*", ends(key.desc(), "i")).filter("i <= 2").groupBy("s_nationkey").agg(F.max("s_suppkey").alias("z"), F.min("s_suppkey").alias("y"))
+    sizes = keys.groupBy("s_nationkey").agg(n_rows().alias("k")).filter("k > 1")
+    both = keys.join(sizes, "s_nationkey").join(first, "s_nationkey").join(last, "s_nationkey")
+    return both.select("s_suppkey", (F.col("k") - 1).alias("others"), F.when(key == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("first_other"), F.when(key == F.col("z"), F.col("y")).otherwise(F.col("z")).alias("last_other"))
 
 
 @q("expr_key_join", "SELECT s_suppkey, count(*)::BIGINT AS n FROM supplier JOIN customer ON right(s_name, 3) = right(c_name, 3) GROUP BY 1")
 def expr_key_join(t: Tables) -> DataFrame:
-    return t.supplier.join(t.customer, F.right("s_name", F.lit(3)) == F.right("c_name", F.lit(3))).groupBy("s_suppkey").agg(n_rows().alias("n"))
+    """Counted by key before the join, so the join is many to one."""
+    suffixes = t.customer.groupBy(F.right("c_name", F.lit(3)).alias("suffix")).agg(n_rows().alias("n"))
+    return t.supplier.join(suffixes, F.right("s_name", F.lit(3)) == F.col("suffix")).select("s_suppkey", "n")
 
 
 @q("range_residual_join", "SELECT o_orderkey, count(*)::BIGINT AS late FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate > o_orderdate + INTERVAL 30 DAY GROUP BY 1")
@@ -234,7 +245,8 @@ def avg_cast(t: Tables) -> DataFrame:
 
 @q("having_alias", "SELECT o_custkey, count(*)::BIGINT AS n FROM orders GROUP BY 1 HAVING count(*) > 12")
 def having_alias(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(n_rows().alias("n")).filter("n > 12")
+    """An alias in HAVING, through the gate."""
+    return Gate(t.spark, roots=(t.dir,)).run(f"SELECT o_custkey, count(*) AS n FROM parquet.`{t.dir}/orders.parquet` GROUP BY 1 HAVING n > 12")
 
 
 @q("group_by_ordinal", "SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2")
@@ -299,7 +311,7 @@ def variance(t: Tables) -> DataFrame:
 
 @q("quantile_threshold", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.75), 4) AS q3 FROM orders GROUP BY 1")
 def quantile_threshold(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderpriority").agg(F.round(F.expr("percentile(o_totalprice, 0.75)"), 4).alias("q3"))
+    return quantile(t.orders, ["o_orderpriority"], "o_totalprice", 0.75).select("o_orderpriority", F.round("quantile", 4).alias("q3"))
 
 
 # --- windows, sorting, top-k ---------------------------------------------------------------

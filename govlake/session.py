@@ -16,9 +16,15 @@ SETTINGS = {
 }
 
 
-def build_session(app: str = "govlake", master: str | None = None, **settings: str) -> SparkSession:
-    """A session; ``settings`` (dots as double underscores) win over the defaults."""
+def build_session(app: str = "govlake", master: str | None = None, threads: int | None = None, memory: str | None = None, **settings: str) -> SparkSession:
+    """A session; ``settings`` (dots as double underscores) win over the defaults.
+
+    ``threads`` and ``memory`` limit a session on one machine, as for the query service (4 threads, 6g).
+    """
     builder = SparkSession.builder.appName(app)
+    master = f"local[{threads}]" if threads and not master else master
+    if memory:
+        settings = {"spark__driver__memory": memory, **settings}
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():

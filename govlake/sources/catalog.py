@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 from govlake.functions.scalars import csv_line, human_size
 
 FILES = "dataset string, table_name string, path string, bytes bigint"
+#: Keys of field metadata that hold a description, tried in this order (fixed values).
+NOTES = ("description", "DESCRIPTION", "comment", "doc")
 REGISTRY = "dataset string, table_name string, ordinal int, name string, type string, nullable boolean, description string"
 
 
@@ -39,7 +42,7 @@ def cost_estimate(bytes_: DataFrame, column: str = "bytes") -> DataFrame:
 
 @dataclass
 class Catalog:
-    """Databases and views over explicit file lists; Hive partitions and columns are united by name."""
+    """Databases and tables over folders of files; Hive partitions and columns are united by name."""
 
     spark: SparkSession
     hot: tuple[str, ...] = ()
@@ -50,18 +53,27 @@ class Catalog:
             reader = reader.option("basePath", base)
         return reader.parquet(*sorted(files))
 
-    def build(self, root: str) -> list[str]:
-        """A database per dataset and a view per table; tables with geometry columns are skipped."""
-        tables = list_files(self.spark, root).select("dataset", "table_name").distinct().orderBy("dataset", "table_name").collect()
+    def build(self, root: str, at_once: int = 8) -> list[str]:
+        """A database per dataset and a read-only table per folder, with the columns of all its files united by name.
+
+        Footers are merged by a job per table, ``at_once`` side by side, and the schema is kept, so
+        no query reads footers to learn it. Tables with geometry columns are skipped.
+        """
+        found = [(r.dataset, r.table_name) for r in list_files(self.spark, root).select("dataset", "table_name").distinct().orderBy("dataset", "table_name").collect()]
+        place = lambda name: f"{root.rstrip('/')}/{name[0]}/{name[1]}"
+        with ThreadPoolExecutor(at_once) as pool:
+            schemas = list(pool.map(lambda name: self.read([place(name)]).schema, found))
         made = []
-        for row in tables:
-            place = f"{root.rstrip('/')}/{row.dataset}/{row.table_name}"
-            schema = self.spark.read.option("mergeSchema", True).parquet(place).schema
+        for name, schema in zip(found, schemas, strict=True):
             if any(f.name.lower() in ("geometry", "geometria") and isinstance(f.dataType, T.BinaryType) for f in schema):
                 continue
-            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{row.dataset}`")
-            self.spark.sql(f"CREATE OR REPLACE VIEW `{row.dataset}`.`{row.table_name}` AS SELECT * FROM parquet.`{place}`")
-            made.append(f"{row.dataset}.{row.table_name}")
+            dataset, table = name
+            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{dataset}`")
+            if self.spark.catalog.tableExists(f"`{dataset}`.`{table}`"):
+                kind = "VIEW" if self.spark.catalog.getTable(f"`{dataset}`.`{table}`").tableType == "VIEW" else "TABLE"
+                self.spark.sql(f"DROP {kind} `{dataset}`.`{table}`")  # the files stay: they are external
+            self.spark.catalog.createTable(f"`{dataset}`.`{table}`", path=place(name), source="parquet", schema=schema)
+            made.append(f"{dataset}.{table}")
         return made
 
     def tables(self) -> DataFrame:
@@ -93,15 +105,53 @@ def _type_name(kind: T.DataType) -> str:
     return kind.simpleString().upper()
 
 
-def registry(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
-    """The schema registry of ``dataset.table -> path``, from footers only."""
-    rows = []
-    for name, path in sorted(tables.items()):
+def footer_metadata(spark: SparkSession, path: str) -> dict[str, str]:
+    """Key/value metadata in the footer of the first Parquet file at or below ``path``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(conf).listFiles(place, True)
+    while files.hasNext():
+        file = files.next().getPath()
+        if file.getName().endswith(".parquet"):
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(file, conf))
+            try:
+                return dict(reader.getFooter().getFileMetaData().getKeyValueMetaData())
+            finally:
+                reader.close()
+    return {}
+
+
+def footer_descriptions(metadata: dict[str, str]) -> dict[str, str]:
+    """Descriptions of columns that writers leave in a footer as JSON: the ``pandas`` block and embedded schemas with field metadata."""
+    out: dict[str, str] = {}
+    for key in ("pandas", "pandas_metadata", "org.apache.spark.sql.parquet.row.metadata"):
+        try:
+            block = json.loads(metadata.get(key, "{}"))
+        except ValueError:  # not JSON: nothing to learn
+            continue
+        for column in [*block.get("columns", []), *block.get("fields", [])]:
+            notes = column.get("metadata")
+            note = next((notes[k] for k in NOTES if k in notes), None) if isinstance(notes, dict) else None
+            if note is not None and column.get("name"):
+                out[column["name"]] = str(note)
+    return out
+
+
+def registry(spark: SparkSession, tables: dict[str, str], at_once: int = 8) -> DataFrame:
+    """The schema registry of ``dataset.table -> path``, from a footer a table, ``at_once`` side by side."""
+
+    def read(item: tuple[str, str]) -> list[tuple]:
+        name, path = item
         dataset, _, table = name.rpartition(".")
+        notes = footer_descriptions(footer_metadata(spark, path))
+        rows = []
         for i, f in enumerate(spark.read.parquet(path).schema):
-            note = next((str(f.metadata[k]) for k in ("description", "comment", "doc") if k in f.metadata), None)
+            note = next((str(f.metadata[k]) for k in NOTES if k in f.metadata), notes.get(f.name))
             rows.append((dataset, table, i, f.name, _type_name(f.dataType), f.nullable, note))
-    return spark.createDataFrame(rows, REGISTRY)
+        return rows
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return spark.createDataFrame([r for rows in pool.map(read, sorted(tables.items())) for r in rows], REGISTRY)
 
 
 def enrich(reg: DataFrame, descriptions: DataFrame) -> DataFrame:
@@ -149,6 +199,40 @@ def rows_as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*cast), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def csv_rows(df: DataFrame, separator: str = ",") -> DataFrame:
+    """A column ``line``: rows as CSV with fields quoted where they need it; nulls are empty."""
+    return df.select(csv_line(*df.columns, separator=separator, quoted=True).alias("line"))
+
+
+def csv_header(df: DataFrame, separator: str = ",") -> str:
+    return separator.join(f'"{c.replace(chr(34), chr(34) * 2)}"' if any(x in c for x in (separator, '"', "\n")) else c for c in df.columns)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with a header, quotes doubled inside quotes."""
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+#: Options of the text formats besides their names: everything is read as text but JSON, whose types are its own.
+EXTERNAL = {
+    "csv": {"header": True, "quote": '"', "escape": '"', "multiLine": True, "inferSchema": False},
+    "tsv": {"header": True, "sep": "\t", "inferSchema": False},
+    "json": {"multiLine": False},
+    "xml": {"rowTag": "row"},
+    "parquet": {"mergeSchema": True},
+    "orc": {"mergeSchema": True},
+    "text": {},
+}
+
+
+def read_external(spark: SparkSession, path: str, kind: str, schema: str | None = None, **options: str) -> DataFrame:
+    """A table in another format; ``options`` win over those of ``EXTERNAL``."""
+    if kind not in EXTERNAL:
+        raise ValueError(f"unknown format {kind}; known: {', '.join(sorted(EXTERNAL))}")
+    reader = spark.read.format("csv" if kind == "tsv" else kind).options(**{**EXTERNAL[kind], **options})
+    return (reader.schema(schema) if schema else reader).load(path)
+
+
 def box_table(df: DataFrame, most: int = 100) -> str:
     """A text box with at most ``most`` rows."""
     rows = [[("NULL" if v is None else str(v)) for v in r] for r in df.limit(most).collect()]

@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from govlake import api
+from govlake import api, client
 from govlake.functions import scalars as fn
 from govlake.plans import nlsql, semantic
 from govlake.plans.sqlgate import Gate, Rejected, lift_aliases, shim_functions, strip_catalog
@@ -88,6 +88,94 @@ def test_gate_runs_queries(spark):
     assert Gate(spark, large={"big": ("ano",)}, full_scans=frozenset({"big"})).run("SELECT count(*) FROM big").first()[0] == 5
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT reflect('java.lang.System', 'getenv')",
+        "SELECT 1 WHERE EXISTS (SELECT try_reflect('java.lang.System', 'getProperty', 'user.home'))",
+        "WITH a AS (SELECT builtin.reflect('java.lang.System', 'getenv') AS x) SELECT * FROM a",
+        "SELECT upper(x) FROM VALUES (java_method('java.lang.System', 'getProperty', 'user.home')) t(x)",
+        "SELECT input_file_name() FROM range(2)",
+        "SELECT * FROM text.`file:///etc/hostname`",
+        "SELECT * FROM csv.`/etc/passwd`",
+        "SELECT 1 WHERE 1 IN (SELECT length(value) FROM text.`/etc/hostname`)",
+        "SELECT * FROM parquet.`/elsewhere/x`",
+        "SELECT * FROM parquet.`/lake/../elsewhere/x`",
+        "SELECT * FROM `org.apache.spark.sql.execution.datasources.text.TextFileFormat`.`/etc/hostname`",
+        "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')",
+        "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM range(3)",
+        "SELECT * FROM python_worker_logs()",
+        "EXPLAIN DROP TABLE t",
+    ],
+)
+def test_gate_lets_nobody_out(spark, sql):
+    with pytest.raises(Rejected):
+        Gate(spark, roots=("/lake",)).run(sql)
+
+
+def test_gate_knows_queries(spark, tmp_path):
+    spark.range(4).write.parquet(f"{tmp_path}/t")
+    gate = Gate(spark, roots=(str(tmp_path),))
+    fn.register_functions(spark)
+    for sql, rows in (
+        (f"SELECT count(*) FROM parquet.`{tmp_path}/t` WHERE id IN (SELECT id FROM range(2))", 1),
+        ("SELECT x, sum(y) OVER (PARTITION BY x ORDER BY y) FROM VALUES (1, 2), (1, 3) t(x, y)", 2),
+        ("SELECT * FROM (SELECT id % 2 AS k, id FROM range(6)) PIVOT (sum(id) FOR k IN (0, 1))", 1),
+        ("SELECT id, e FROM range(2) LATERAL VIEW explode(array(1, 2)) t AS e", 4),
+        ("SELECT id FROM (SELECT * FROM range(5)) TABLESAMPLE (3 ROWS)", 3),
+        ("(SELECT 1 AS a UNION SELECT 2) EXCEPT SELECT 2 INTERSECT SELECT 2", 1),
+        ("SELECT k, count(*) AS n FROM (SELECT id % 3 AS k FROM range(9)) GROUP BY ROLLUP (k) HAVING n > 1 ORDER BY 1 LIMIT 10 OFFSET 1", 3),
+        ("SELECT /*+ BROADCAST(b) */ a.id, brl(1.5D), (SELECT max(id) FROM range(3)) FROM range(3) a JOIN range(2) b USING (id)", 2),
+        ("SELECT a.id FROM range(3) a, LATERAL (SELECT a.id + 1 AS y) WHERE CASE WHEN y > 1 THEN true END", 2),
+        ("FROM range(3)", 3),
+        ("DESCRIBE SELECT 1 AS x", 1),
+        ("EXPLAIN SELECT 1", 1),
+    ):
+        assert gate.run(sql).count() == rows, sql
+
+
+def test_guard_reads_the_plan(spark, tmp_path):
+    spark.range(20).selectExpr("id", "id % 4 AS ano").write.partitionBy("ano").parquet(f"{tmp_path}/ds/big")
+    catalog.Catalog(spark).build(str(tmp_path))
+    try:
+        gate = Gate(spark, large={"ds.big": ("ano",)})
+        for sql in (
+            "SELECT count(*) FROM ds.big",
+            "SELECT a.id FROM ds.big a JOIN (SELECT 1 AS ano) b ON b.ano = 1",
+            "SELECT count(*) FROM ds.big WHERE id > 0 OR ano = 1",
+            "SELECT count(*) FROM ds.big WHERE ano IS NOT NULL AND ano <> 3",
+            "SELECT (SELECT count(*) FROM ds.big) AS n",
+            "SELECT id FROM ds.big WHERE ano = 1 UNION ALL SELECT id FROM ds.big",
+            "WITH big AS (SELECT * FROM ds.big) SELECT id FROM big LIMIT 1",
+            "SELECT 'WHERE ano = 1' AS x, id FROM ds.big",
+        ):
+            with pytest.raises(Rejected, match="filter ds.big on ano"):
+                gate.run(sql)
+        for sql, n in (
+            ("SELECT id FROM ds.big WHERE ano = 1", 5),
+            ("SELECT id FROM ds.big WHERE ano BETWEEN 1 AND 2 AND id > 9", 5),
+            ("WITH a AS (SELECT * FROM ds.big) SELECT id FROM a WHERE ano IN (1, 3)", 10),
+            ("SELECT a.id FROM ds.big a JOIN ds.big b ON a.ano = b.ano AND a.id = b.id WHERE b.ano = 2", 5),
+            ("SELECT id AS big FROM range(2)", 2),
+        ):
+            assert gate.run(sql).count() == n, sql
+        assert Gate(spark, large={"ds.big": ("ano",)}, full_scans=frozenset({"ds.big"})).run("SELECT * FROM ds.big").count() == 20
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS ds CASCADE")
+
+
+def test_views_have_all_columns(spark, tmp_path):
+    spark.range(2).selectExpr("id", "id AS ano").write.parquet(f"{tmp_path}/ds/t")
+    spark.range(3).selectExpr("id", "'x' AS extra", "id AS ano").write.mode("append").parquet(f"{tmp_path}/ds/t")
+    try:
+        assert catalog.Catalog(spark).build(str(tmp_path)) == ["ds.t"]
+        rows = spark.table("ds.t")
+        assert set(rows.columns) == {"id", "ano", "extra"} and rows.filter("extra IS NULL").count() == 2
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS ds CASCADE")
+
+
 def test_asker_retries_with_the_error(spark, tmp_path):
     asked = []
     replies = iter(["SELECT nope FROM range(3)", "SELECT also_nope FROM range(3)", "```sql\nSELECT count(*) AS n FROM range(3)\n```"])
@@ -184,6 +272,11 @@ def test_tokens():
     assert api.valid_token("s", api.day_token("s"))
 
 
+class NoRedirect(urllib.request.HTTPRedirectHandler):
+    def redirect_request(self, *args):
+        return None
+
+
 def test_http(spark):
     server = api.make_server(Gate(spark), "secret", port=0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
@@ -199,7 +292,19 @@ def test_http(spark):
         assert json.loads(call("/query?q=SELECT+1+AS+x")[1]) == [{"x": 1}]
         assert json.loads(call("/query", b"SELECT DATE '2020-01-02' AS d")[1]) == [{"d": "2020-01-02"}]
         assert "error" in json.loads(call("/query", b"DROP TABLE x")[1])
-        for path, data, password, code in (("/query", b"SELECT 1", "no", 401), ("/query", b" ", "secret", 400), ("/none", None, "secret", 404), ("/auth", None, "secret", 401)):
+        assert "form" in call("/auth")[1]  # sent on to the login page
+        assert len(json.loads(call("/query", b"SELECT id FROM range(150000)")[1])) == 150_000
+        cookie = None
+        try:
+            opener = urllib.request.build_opener(NoRedirect())
+            opener.open(urllib.request.Request(base + "/login", data=b"password=secret"))
+        except urllib.error.HTTPError as e:
+            assert e.code == 302
+            cookie = e.headers["Set-Cookie"].split(";")[0]
+        with urllib.request.urlopen(urllib.request.Request(base + "/auth", headers={"Cookie": cookie})) as r:
+            assert r.status == 200 and r.read() == b""
+        assert json.loads(client.ask(base, "secret", "SELECT 2 AS x", "get")) == json.loads(client.post(base, "secret", "SELECT 2 AS x")) == [{"x": 2}]
+        for path, data, password, code in (("/query", b"SELECT 1", "no", 401), ("/query", b" ", "secret", 400), ("/none", None, "secret", 404), ("/login", b"password=no", "secret", 401)):
             with pytest.raises(urllib.error.HTTPError) as e:
                 call(path, data, password)
             assert e.value.code == code
@@ -208,8 +313,92 @@ def test_http(spark):
 
 
 def test_client_against_closed_port():
-    from govlake import client
-
     with pytest.raises(urllib.error.URLError):
         client.post("http://127.0.0.1:9", "x", "SELECT 1", timeout=2)
     assert os.path.exists(client.__file__)
+
+
+def test_back_ends():
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *args):
+            pass
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers.get("Authorization") or self.headers.get("X-goog-api-key"), body))
+            reply = "```sql\nSELECT 1;\n```"
+            made = {"candidates": [{"content": {"parts": [{"text": reply}]}}], "choices": [{"message": {"content": reply}}], "response": reply}
+            data = json.dumps(made).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        for kind in ("contents", "chat", "completion"):
+            made = nlsql.generator_from_environment({"SQL_GENERATOR": kind, "SQL_GENERATOR_URL": url + "/", "SQL_GENERATOR_MODEL": "m", "SQL_GENERATOR_KEY": "k"})
+            assert made.generate("how many?", "t: a:V", nlsql.PROMPT) == "SELECT 1"
+    finally:
+        server.shutdown()
+    assert [(p, k) for p, k, _ in seen] == [("/models/m:generateContent", "k"), ("/chat/completions", "Bearer k"), ("/api/generate", None)]
+    assert all("how many?" in json.dumps(b) and "t: a:V" in json.dumps(b) for _, _, b in seen)
+    made = nlsql.generator_from_environment({"SQL_GENERATOR": "command", "SQL_GENERATOR_COMMAND": "cat"})
+    assert "Question: how many?" in made.generate("how many?", "t: a:V", nlsql.PROMPT)
+    with pytest.raises(RuntimeError):
+        nlsql.CommandGenerator(["false"]).generate("q", "s", "p")
+    with pytest.raises(ValueError, match="unknown SQL_GENERATOR"):
+        nlsql.generator_from_environment({"SQL_GENERATOR": "x"})
+    assert semantic.CommandEmbedder(["sh", "-c", "cat > /dev/null; echo '[1, 0.5]'"]).embed("text") == [1.0, 0.5]
+
+
+def test_formats_and_footers(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a, "b"\nc', None), (2, "", "x")], "k int, text string, z string")
+    catalog.write_csv(df, f"{tmp_path}/csv")
+    back = catalog.read_external(spark, f"{tmp_path}/csv", "csv")
+    assert sorted(map(tuple, back.collect())) == [("1", 'a, "b"\nc', None), ("2", "", "x")] or back.filter("k = 1").first().text == 'a, "b"\nc'
+    assert [r.line for r in catalog.csv_rows(df).collect()] == ['1,"a, ""b""\nc",', "2,,x"] and catalog.csv_header(df) == "k,text,z"
+    (tmp_path / "x.tsv").write_text("a\tb\n1\t2\n")
+    (tmp_path / "x.xml").write_text("<t><row><a>1</a></row><row><a>2</a></row></t>")
+    assert [tuple(r) for r in catalog.read_external(spark, f"{tmp_path}/x.tsv", "tsv").collect()] == [("1", "2")]
+    assert catalog.read_external(spark, f"{tmp_path}/x.xml", "xml").count() == 2
+    with pytest.raises(ValueError, match="unknown format"):
+        catalog.read_external(spark, "x", "xlsx")
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    block = {"columns": [{"name": "a", "metadata": {"description": "the a"}}, {"name": "b", "metadata": None}]}
+    table = pa.table({"a": [1], "b": [2]}).replace_schema_metadata({"pandas": json.dumps(block)})
+    pq.write_table(table, f"{tmp_path}/noted.parquet")
+    got = {r.name: r.description for r in catalog.registry(spark, {"d.noted": f"{tmp_path}/noted.parquet"}).collect()}
+    assert got == {"a": "the a", "b": None} and catalog.footer_descriptions({"pandas": "no json"}) == {}
+
+
+def test_sessions_can_be_limited():
+    from govlake import session
+
+    made = {}
+
+    class Builder:
+        def __getattr__(self, name):
+            return lambda *a: made.update({name if len(a) < 2 else a[0]: a[-1]}) or self if a else made
+
+    class Fake:
+        builder = Builder()
+
+    real, session.SparkSession = session.SparkSession, Fake
+    try:
+        session.build_session("x", threads=4, memory="6g")
+    finally:
+        session.SparkSession = real
+    assert made["master"] == "local[4]" and made["spark.driver.memory"] == "6g"
+
+
+def test_failure_words():
+    assert [ingest.classify_text(m) for m in ("Type NOT SUPPORTED", "user not authorized", "table does not exist", "404 Not found", "incompatible", "permission", "timeout")] == ["INCOMPATIBLE", "ACCESS_DENIED", "ACCESS_DENIED", "ACCESS_DENIED", "RETRY", "RETRY", "RETRY"]
