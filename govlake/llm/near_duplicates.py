@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from govlake.llm.common import Scratch, attach, blobs, drop_rows, join_groups, keep_rows, map_arrow
+from govlake.llm.common import Scratch, attach, blobs, drop_rows, join_groups, keep_rows, map_arrow, measured_bytes
 from govlake.llm.components import connected
 
 REGISTER_BITS, MANTISSA_BITS = 8, 10
@@ -159,7 +159,7 @@ class _Verifier:
         self.sieved = 0
         self.sketches = nodes.select("node", "n", "registers")
         keys = nodes.select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key"))
-        if keys.count() <= 1_000_000:  # 24 bytes each
+        if measured_bytes(nodes.select("node", "rep")) <= FEW_BYTES:
             keys = F.broadcast(keys)
         rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
         texts = rows.join(keys, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
