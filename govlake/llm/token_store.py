@@ -41,9 +41,9 @@ from govlake.llm.common import Scratch, free, join_groups, map_arrow, running_to
 LEAST, MOST, SPAN, CUT_BITS = 128, 4096, 16, 9
 SEGMENT_BITS = 20
 #: Words encoded in one call, characters of texts taken together.
-TOGETHER, SLICE = 200, 12 << 20
+TOGETHER, SLICE = 200, 6 << 20
 #: Words whose ids a worker remembers, some 40 bytes each; beyond that it starts again.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 500_000
 SEEN_DIGESTS = 200_000
 
 _rng = np.random.default_rng(20_240_101)
@@ -69,8 +69,12 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
 
 
 def _gather(pool: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions in ``pool`` of runs that begin at ``at``, one after another."""
-    return np.repeat(at - _starts(sizes), sizes) + np.arange(int(sizes.sum()))
+    """Positions in ``pool`` of runs that begin at ``at``, one after another; short numbers where they do, as there is one for each id."""
+    total = int(sizes.sum())
+    short = np.int32 if max(len(pool), total) < 1 << 31 else np.int64
+    out = np.repeat((at - _starts(sizes)).astype(short), sizes)
+    out += np.arange(total, dtype=short)
+    return out
 
 
 class Encoder:
