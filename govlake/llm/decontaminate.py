@@ -10,7 +10,9 @@ benchmark takes more passes over the documents, not more memory.
 
 Nulls: a null text has no words, so it is clean, and a null item gives no windows; null item ids
 read ``null``. Documents are told apart by doc_id and text, so rows that repeat get equal results,
-and rows that share a doc_id only are judged each by its own text. Empty tables work. Columns
+and rows that share a doc_id only are judged each by its own text. Empty tables work. A text's words,
+hashes and probes are arrays of one row, some 40 bytes a word; its hits are merged into runs in time
+proportional to hits times disjoint runs. Columns
 besides doc_id, text and item_id are ignored, or kept as they are where rows of the input return.
 """
 
