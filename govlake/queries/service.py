@@ -91,7 +91,9 @@ def catalog_tables(t: Tables) -> DataFrame:
     known.build(root)
     names = [r.table_name for r in known.tables().filter(F.col("schema_name") == dataset).collect()]
     found = [t.spark.table(f"{dataset}.{n}").select(F.lit(n).alias("table_name")).groupBy("table_name").agg(F.count(F.lit(1)).cast("long").alias("n")) for n in sorted(names)]
-    return found[0].unionAll(found[1])
+    both = found[0].unionAll(found[1])
+    t.spark.sql(f"DROP DATABASE `{dataset}` CASCADE")  # the files stay, and the plan has found them
+    return both
 
 
 @q("views_by_name", "SELECT n_nationkey AS k, n_name AS name, NULL::BIGINT AS region FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey::BIGINT FROM nation")
@@ -103,7 +105,9 @@ def views_by_name(t: Tables) -> DataFrame:
     old.write.parquet(f"{root}/{dataset}/t")
     new.write.mode("append").parquet(f"{root}/{dataset}/t")
     catalog.Catalog(t.spark).build(root)
-    return t.spark.table(f"{dataset}.t").select("k", "name", "region")
+    out = t.spark.table(f"{dataset}.t").select("k", "name", "region")
+    t.spark.sql(f"DROP DATABASE `{dataset}` CASCADE")
+    return out
 
 
 @q("csv_quoted", """SELECT n_nationkey || ',"' || n_name || ', ""the"" ' || n_regionkey || '",' AS line FROM nation""")
@@ -158,6 +162,15 @@ def box_table(t: Tables) -> DataFrame:
     return rows(t, [(x,) for x in lines[3:] if x.startswith("|")], "line string")
 
 
+@q("sample_properties", "SELECT least(count(*), 2)::BIGINT AS n, true AS known FROM orders")
+def sample_properties(t: Tables) -> DataFrame:
+    """What holds of any sample of two rows: their number, and that the table has them."""
+    sample = t.orders.select("o_orderkey", "o_custkey").orderBy(F.rand()).limit(2)
+    known = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.lit(True).alias("known"))
+    joined = sample.join(known, (F.col("o_orderkey") == F.col("k")) & (F.col("o_custkey") == F.col("c")), "left")
+    return joined.agg(F.count(F.lit(1)).cast("long").alias("n"), F.coalesce(F.bool_and(F.coalesce("known", F.lit(False))), F.lit(True)).alias("known"))
+
+
 # --- questions -----------------------------------------------------------------------------
 
 

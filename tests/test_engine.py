@@ -402,3 +402,30 @@ def test_sessions_can_be_limited():
 
 def test_failure_words():
     assert [ingest.classify_text(m) for m in ("Type NOT SUPPORTED", "user not authorized", "table does not exist", "404 Not found", "incompatible", "permission", "timeout")] == ["INCOMPATIBLE", "ACCESS_DENIED", "ACCESS_DENIED", "ACCESS_DENIED", "RETRY", "RETRY", "RETRY"]
+
+
+def test_console_keys():
+    from govlake.plans.console import QUIT, Console
+
+    asked = []
+    con = Console(asked.append)
+    press = lambda *keys: [con.press(k) for k in keys][-1]
+    press("h", "i", "x", "backspace", " ", "enter")
+    assert asked == ["hi"] and con.busy and con.text == ""
+    press("a", "enter", "up")  # not heard while busy
+    assert asked == ["hi"] and con.text == "" and press("q") is None and press("ctrl+c") == QUIT
+    con.show(nlsql.State.DONE, rows=3)
+    press("down", "down", "down", "wheelup")
+    assert con.row == 1 and press("up", "up") is None and con.row == 0
+    press("ctrl+l", "y", "o", "enter")
+    con.show(nlsql.State.ERROR)
+    press("up")
+    assert con.text == "yo"
+    press("up", "up")
+    assert con.text == "hi"
+    press("down", "down", "down")
+    assert con.text == "" and press("q") == QUIT
+    con.paste("q")
+    assert press("q") is None and con.text == "qq"
+    press("ctrl+m")
+    assert not con.mouse
