@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from govlake.llm.common import Scratch, attach, blobs, drop_rows, join_groups, keep_rows, map_arrow, measured_bytes
+from govlake.llm.common import FEW_BYTES, Scratch, attach, blobs, drop_rows, join_groups, keep_rows, map_arrow, measured_bytes
 from govlake.llm.components import connected
 
 REGISTER_BITS, MANTISSA_BITS = 8, 10
@@ -55,8 +55,8 @@ EMPTY = 0xFFFF
 BAND, BANDS = 5, 50
 #: Standard deviations below the threshold at which an estimate rejects a pair.
 DOUBT = 5.0
-#: Measured bytes of sketches and sets up to which they are broadcast to the pairs, if there are so many pairs a node.
-FEW_BYTES, MET_OFTEN = 24 << 20, 8
+#: Pairs a node from which sketches and sets of few bytes are broadcast to the pairs.
+MET_OFTEN = 8
 #: Rounds of one test per class before the pairs that are left are listed.
 ROUNDS = 2
 CACHED_WORDS = 150_000
