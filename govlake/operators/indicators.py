@@ -41,6 +41,21 @@ def ranked_values(df: DataFrame, group: list[str], value: str, parts: int = 256)
     return local.join(offsets, on).select(*group, value, "_rows", (F.col("_local") + F.col("_offset")).alias("_before"))
 
 
+def places(df: DataFrame, first: str, order: Column, value: str) -> DataFrame:
+    """``df`` with ``place``: the rank of each row (1 first, equals alike) by ``first`` in ``order``, then by ascending ``value``.
+
+    The whole table is ranked, but no task sorts it: values are ranked by ranges within each ``first``,
+    and only the sizes of its groups are summed in order.
+    """
+    ranked = ranked_values(df, [first], value).select(F.col(first).alias("_f"), F.col(value).alias("_v"), "_before")
+    sizes = df.groupBy(first).agg(F.count(F.lit(1)).alias("_n"))
+    offset = F.coalesce(F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(first).alias("_s"), offset.alias("_start"))  # a row per group
+    known = ranked.join(starts, F.col("_f").eqNullSafe(F.col("_s")))
+    placed = df.join(known, F.col(first).eqNullSafe(F.col("_f")) & (F.col(value) == F.col("_v")))
+    return placed.select(*df.columns, (F.col("_start") + F.col("_before") + 1).cast("long").alias("place"))
+
+
 def gini(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Gini coefficient of the non-negative ``value`` in each group; equal values share their ranks."""
     ranked = ranked_values(df.filter(F.col(value) >= 0), group, value)

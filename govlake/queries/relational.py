@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from govlake.functions.scalars import percent, safe_div
 from govlake.operators.analyses import decode, two_path_check
-from govlake.operators.indicators import quantile, share_of_total, topn_share, yoy_change
+from govlake.operators.indicators import places, quantile, share_of_total, topn_share, yoy_change
 from govlake.plans.sqlgate import Gate
 from govlake.queries.base import WITH_K, Registry, Tables, wide
 
@@ -353,20 +353,25 @@ def topk(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(20)
 
 
-@q("null_order", "SELECT o_orderkey, NULLIF(o_orderstatus, 'F') AS status FROM orders ORDER BY status DESC NULLS LAST, o_orderkey LIMIT 15")
+@q("null_order", "SELECT o_orderkey, NULLIF(o_orderstatus, 'F') AS status, rank() OVER (ORDER BY NULLIF(o_orderstatus, 'F') DESC NULLS LAST, o_orderkey)::BIGINT AS place FROM orders")
 def null_order(t: Tables) -> DataFrame:
+    """The whole table in order, nulls last; ``place`` shows the order, which a comparison of rows would not."""
     rows = t.orders.select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("status"))
-    return rows.orderBy(F.col("status").desc_nulls_last(), "o_orderkey").limit(15)
+    return places(rows, "status", F.col("status").desc_nulls_last(), "o_orderkey")
 
 
-@q("order_by_ordinal", "SELECT n_name, n_regionkey FROM nation ORDER BY 2, 1 LIMIT 10")
+@q("order_by_ordinal", "SELECT n_name, n_regionkey, row_number() OVER (ORDER BY n_regionkey, n_name)::BIGINT AS place FROM nation")
 def order_by_ordinal(t: Tables) -> DataFrame:
-    return t.spark.sql(f"SELECT n_name, n_regionkey FROM parquet.`{t.dir}/nation.parquet` ORDER BY 2, 1 LIMIT 10")
+    """Sorted by ordinals, and numbered as the rows come (a table of few rows, in one task)."""
+    ordered = t.spark.sql(f"SELECT n_name, n_regionkey FROM parquet.`{t.dir}/nation.parquet` ORDER BY 2, 1").coalesce(1)
+    return ordered.withColumn("place", F.monotonically_increasing_id() + 1)
 
 
-@q("multi_key_sort", "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier ORDER BY s_nationkey, s_acctbal DESC, s_suppkey LIMIT 25")
+@q("multi_key_sort", "SELECT s_suppkey, s_nationkey, s_acctbal, rank() OVER (ORDER BY s_nationkey, s_acctbal DESC)::BIGINT AS place FROM supplier")
 def multi_key_sort(t: Tables) -> DataFrame:
-    return t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal").orderBy("s_nationkey", F.col("s_acctbal").desc(), "s_suppkey").limit(25)
+    """Nations ascending, balances descending in each; suppliers of equal balance share a place."""
+    rows = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal", (-F.col("s_acctbal")).alias("owed"))
+    return places(rows, "s_nationkey", F.col("s_nationkey").asc(), "owed").drop("owed")
 
 
 # --- set operations ---------------------------------------------------------------------
