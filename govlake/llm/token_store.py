@@ -41,9 +41,9 @@ from govlake.llm.common import Scratch, free, join_groups, map_arrow, running_to
 LEAST, MOST, SPAN, CUT_BITS = 128, 4096, 16, 9
 SEGMENT_BITS = 20
 #: Words encoded in one call, characters of texts taken together.
-TOGETHER, SLICE = 200, 6 << 20
+TOGETHER, SLICE = 200, 8 << 20
 #: Words whose ids a worker remembers, some 40 bytes each; beyond that it starts again.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 1_000_000
 SEEN_DIGESTS = 200_000
 
 _rng = np.random.default_rng(20_240_101)
