@@ -37,16 +37,26 @@ _own: dict[str, str] = {}
 _bases: set[str] = set()
 
 
+def written() -> set[str]:
+    """Folders that operator calls of this process may still have tables in."""
+    return set(_bases)
+
+
+def release(spark: SparkSession, bases: set[str]) -> None:
+    """Delete such folders, once nothing reads what the calls returned."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for base in bases:
+        path = jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(conf).delete(path, True)
+        _bases.discard(base)
+
+
 def _clear() -> None:
     """What this process has written into the shared folder goes when it ends, also after a failure."""
     spark = SparkSession.getActiveSession()
-    if spark is None or spark.sparkContext._jsc is None:
-        return
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for base in _bases:
+    if spark is not None and spark.sparkContext._jsc is not None:
         with contextlib.suppress(Exception):  # the store may be out of reach by now
-            path = jvm.org.apache.hadoop.fs.Path(base)
-            path.getFileSystem(conf).delete(path, True)
+            release(spark, written())
 
 
 atexit.register(_clear)

@@ -52,3 +52,35 @@ def test_tables_are_shared_and_dropped(spark, tmp_path):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_measured_bytes_and_release(spark):
+    import os
+
+    from govlake.llm.common import measured_bytes, release, written
+
+    before = written()
+    scratch = Scratch(spark, "measured")
+    small = scratch.write(spark.range(10).selectExpr("id", "cast(id as string) as s", "named_struct('a', id, 'b', 'xyz') as t", "array(id, id) as l"), "small")
+    assert 10 * (8 + 8 + 17 + 16 + 8 + 19) <= measured_bytes(small) <= 10 * 200
+    assert measured_bytes(small.limit(0)) == 0
+    wide = scratch.write(spark.range(10).selectExpr("repeat('é', 1000) as s"), "wide")
+    assert 20_000 <= measured_bytes(wide) <= 21_000
+    mine = written() - before
+    assert mine == {scratch.base} and os.path.exists(scratch.base.removeprefix("file://"))
+    release(spark, mine)
+    assert written() == before and not os.path.exists(scratch.base.removeprefix("file://"))
+
+
+def test_rows_are_dropped_and_kept_whatever_their_names(spark, monkeypatch):
+    from govlake.llm import common
+
+    rows = [(1, "a", "x"), (1, "a", "y"), (1, "b", "x"), (None, "a", "x"), (2, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, _k_text_key string")
+    some = Scratch(spark, "some").write(df.filter("text = 'a' OR text IS NULL").selectExpr("doc_id", "xxhash64(text) as text_key"), "keys")
+    for few in (common.FEW_BYTES, 0):  # with a broadcast, and by a shuffle
+        monkeypatch.setattr(common, "FEW_BYTES", few)
+        dropped, kept = common.drop_rows(df, some), common.keep_rows(df, some)
+        assert dropped.columns == kept.columns == df.columns
+        assert [tuple(r) for r in dropped.collect()] == [rows[2]]
+        assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, (rows[0], rows[1], rows[3], rows[4])))
