@@ -9,9 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from govlake.llm.common import Scratch
+from govlake.llm.common import Scratch, release, written
 from govlake.llm.decontaminate import remove_contaminated
 from govlake.llm.mixing import mix_rows
 from govlake.llm.near_duplicates import drop_near_duplicates
@@ -60,13 +59,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage and its operators have written goes when its rows are written."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES[:-1]):
+    for number, (_, stage) in enumerate(STAGES):
+        before = written()
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{number}")
+        release(spark, written() - before)
         if number:
             scratch.drop(f"stage-{number - 1}")
-    out = scratch.write(STAGES[-1][1](spark, docs, sf_dir), "out")
-    scratch.drop(f"stage-{len(STAGES) - 2}")
-    return out.select(*[F.col(c) for c in out.columns])
+    return docs
