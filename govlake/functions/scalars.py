@@ -72,15 +72,17 @@ def type_abbrev(x: ColumnLike) -> Column:
     return out.otherwise(_c(x))
 
 
-def human_size(x: ColumnLike) -> Column:
-    """Bytes as B, KB, MB, GB or TB (base 1024) with one decimal."""
+def human_size(x: ColumnLike, largest: str = "TB") -> Column:
+    """Bytes as B, KB, MB, GB or TB (base 1024), no unit above ``largest``, with one decimal; ties go to the even digit, as in C; null stays null."""
     value = _c(x).cast("double")
+    units = ("B", "KB", "MB", "GB", "TB")
+    units = units[: units.index(largest) + 1]
     out = None
-    for power, unit in enumerate(("B", "KB", "MB", "GB")):
-        here = F.format_string(f"%.1f {unit}", value / F.lit(float(1024**power)))
-        small = value < float(1024 ** (power + 1))
+    for power, unit in enumerate(units):
+        here = F.format_string(f"%.1f {unit}", F.bround(value / F.lit(float(1024**power)), 1))
+        small = value.isNotNull() if unit == largest else value < float(1024 ** (power + 1))
         out = F.when(small, here) if out is None else out.when(small, here)
-    return out.otherwise(F.format_string("%.1f TB", value / F.lit(float(1024**4))))
+    return out
 
 
 def cosine(a: ColumnLike, b: ColumnLike) -> Column:

@@ -28,10 +28,10 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files.withColumn("_p", parts).filter(F.size("_p") >= 3).select(F.get("_p", F.lit(0)).alias("dataset"), F.get("_p", F.lit(1)).alias("table_name"), "path", "bytes")
 
 
-def inventory(files: DataFrame) -> DataFrame:
-    """Files and bytes of each table, each dataset and all (nulls in the totals)."""
+def inventory(files: DataFrame, largest: str = "TB") -> DataFrame:
+    """Files and bytes of each table, each dataset and all (nulls in the totals); sizes in units up to ``largest``."""
     sums = files.rollup("dataset", "table_name").agg(F.count(F.lit(1)).cast("long").alias("files"), F.sum("bytes").cast("long").alias("bytes"))
-    return sums.withColumn("size", human_size("bytes"))
+    return sums.withColumn("size", human_size("bytes", largest))
 
 
 def cost_estimate(bytes_: DataFrame, column: str = "bytes") -> DataFrame:

@@ -231,6 +231,23 @@ def test_catalog(spark, tmp_path):
     assert a.columns == ["id", "ano"] and a.count() == 5
 
 
+def test_sizes_of_a_tree(spark, tmp_path):
+    """Totals above a terabyte and ties of the one decimal, as the SQL of tree_markdown has them."""
+    import duckdb
+
+    from govlake.queries import ORACLE_SQL, QUERIES
+
+    path = f"{tmp_path}/orders.parquet"
+    prices = (("F", "a", 1280), ("F", "b", 1792), ("F", "c", 1024**2 * 5 // 4), ("O", "a", 1024**4 - 1), ("O", "b", 3 * 1024**4), ("P", "c", 0))
+    spark.createDataFrame([(i, s, p, float(n)) for i, (s, p, n) in enumerate(prices)], "o_orderkey long, o_orderstatus string, o_orderpriority string, o_totalprice double").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{path}/*.parquet'")
+    got = [r.line for r in QUERIES["tree_markdown"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(r[0] for r in con.execute(ORACLE_SQL["tree_markdown"]).fetchall())
+    assert "- a: 1 files, 1.2 KB" in got and "- b: 1 files, 3072.0 GB" in got and "**Total**: 6 files, 4096.0 GB" in got
+    assert [one(spark, fn.human_size(F.lit(n))) for n in (1280, 1792, 4 * 1024**4)] == ["1.2 KB", "1.8 KB", "4.0 TB"] and one(spark, fn.human_size(F.lit(None))) is None
+
+
 def test_sinks(spark):
     df = spark.createDataFrame([(1, Decimal("2.50"), date(2020, 1, 2), None)], "a int, b decimal(5,2), c date, d string")
     assert json.loads(catalog.rows_as_json(df).first().json) == {"a": 1, "b": 2.5, "c": "2020-01-02", "d": None}
