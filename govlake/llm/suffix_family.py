@@ -37,14 +37,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govlake.llm.common import Scratch, blobs, free, join_groups, map_arrow
 
 LENGTH, REACH, BLOCK = 400, 200, 20
-#: Bytes of text that are hashed together; batches of documents that enter the family one by one.
-SLICE, BATCHES = 1 << 20, 4
+#: Bytes of text that are hashed together (their arrays fit a core's cache); batches of documents that enter the family one by one.
+SLICE, BATCHES = 1 << 18, 4
 GRAM = 8
 _POSITION = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -81,12 +82,16 @@ class Grams:
         words = np.empty(n, np.uint64)
         for k in range(min(GRAM, n)):
             words[k::GRAM] = np.frombuffer(padded, "<u8", count=len(range(k, n, GRAM)), offset=k)
-        self.heads = (words.byteswap() ^ np.uint64(1 << 63)).view(np.int64)  # signed order is byte order
+        self.words = words
         self.each = _mix(words + np.uint64(_BASE))
         up, self.down = _Powers.upto(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.each * up[:n], out=self.sums[1:])
 
+    def heads(self, at: np.ndarray) -> np.ndarray:
+        """The 8-grams at ``at`` as numbers whose signed order is byte order."""
+        return (self.words[at].byteswap() ^ np.uint64(1 << 63)).view(np.int64)
+
     def of(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         """Hashes of strings of ``size`` >= 8 bytes that begin at ``at``."""
         return _mix((self.sums[at + size - GRAM + 1] - self.sums[at]) * self.down[at])
@@ -148,7 +153,7 @@ def _anchor_units(texts: list[bytes], keys: np.ndarray) -> dict:
         span = grams.of(lo, hi - lo + LENGTH)
         which = np.searchsorted(begin, lo, side="right") - 1
         offset = np.array([base for _, base, _ in held])[which] - begin[which]
-        out["head"].append(grams.heads[a])
+        out["head"].append(grams.heads(a))
         out["ck"].append(_signed(shared))
         out["fk"].append(_signed(_mix(span ^ _mix(((a - lo) * 1000 + hi - lo).astype(np.uint64) + np.uint64(1)))))
         out["text_key"].append(keys[np.array([number for number, _, _ in held])[which]])
@@ -158,27 +163,56 @@ def _anchor_units(texts: list[bytes], keys: np.ndarray) -> dict:
     return {c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in out.items()}
 
 
-def _cut_units(text: bytes, units: list[dict], block: int) -> list[tuple]:
-    """Units of at most ``block`` windows that make up ``units``; aligned to the anchors, so equal windows fall into equal blocks."""
-    out: list[tuple] = []
-    for held in _together((i, u["lo"], text[u["lo"] : u["lo"] + u["n"] - 1 + LENGTH]) for i, u in enumerate(units)):
-        grams = Grams(b"".join(p for _, _, p in held))
-        begin = 0
-        for i, _, piece in held:
-            u = units[i]
-            d = u["off"] - np.arange(u["n"])  # how far each window starts before the anchor
-            change = np.flatnonzero(np.diff(d // block))
-            first, last = np.concatenate([[0], change + 1]), np.concatenate([change, [len(d) - 1]])
-            near = d[first] // block * block  # the block's window next to the anchor, whether it is here or not
-            shared = grams.of(begin + u["off"] - near, LENGTH - block + 1)
-            span = grams.of(begin + first, last - first + LENGTH)
-            parent = _mix(np.array([u["ck"]], np.int64).view(np.uint64))
-            ck = _mix(shared ^ (parent + near.astype(np.uint64)))
-            fk = _mix(span ^ _mix((d[first] * 1000 + last - first).astype(np.uint64) + np.uint64(2)))
-            for c, f, a, z in zip(_signed(ck).tolist(), _signed(fk).tolist(), first.tolist(), last.tolist(), strict=True):
-                out.append((c, f, u["weight"], u["lo"] + a, u["off"] - a, z - a + 1))
-            begin += len(piece)
-    return out
+_CUT = ("ck", "weight", "lo", "off", "n")
+
+
+def _cut_units(texts: list[bytes], of: np.ndarray, units: dict[str, np.ndarray], block: int) -> dict:
+    """Units of at most ``block`` windows that make up ``units``, and ``row``, the number of the text; aligned to the anchors, so equal windows fall into equal blocks.
+
+    ``of`` is the number of each unit's text. What the units of a text cover is hashed once, about ``SLICE`` bytes together.
+    """
+    out: dict = {c: [] for c in ("row", "fk", *_CUT)}
+    if len(of):
+        order = np.lexsort((units["lo"], of))
+        of, (ck, weight, lo, off, n) = of[order], (units[c][order].astype(np.int64) for c in _CUT)
+        sizes = np.array([len(t) for t in texts])
+        base = np.cumsum(sizes) - sizes
+        start = base[of] + lo
+        end = start + n - 1 + LENGTH
+        before = np.concatenate([start[:1], np.maximum.accumulate(end)[:-1]])
+        held = np.cumsum(np.maximum(end - np.maximum(start, before), 0)) // SLICE
+        edges = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(of)]
+    else:
+        edges = []
+    for i, j in zip(edges, edges[1:], strict=False):
+        reach = np.maximum.accumulate(end[i:j])
+        opens = np.flatnonzero(np.concatenate([[True], (start[i + 1 : j] > reach[:-1]) | (of[i + 1 : j] != of[i : j - 1])]))
+        a, z, which = start[i:j][opens], reach[np.append(opens[1:], j - i) - 1], of[i:j][opens]
+        grams = Grams(b"".join(texts[t][x:y] for t, x, y in zip(which.tolist(), (a - base[which]).tolist(), (z - base[which]).tolist(), strict=True)))
+        runs = np.repeat(np.cumsum(z - a) - z, np.diff(np.append(opens, j - i)))  # a run begins in the buffer at the bytes before it
+        high, count = off[i:j] // block, off[i:j] // block - (off[i:j] - n[i:j] + 1) // block + 1
+        k = np.repeat(np.arange(i, j), count)
+        near = (np.repeat(high + np.cumsum(count) - count, count) - np.arange(len(k))) * block  # the block's window next to the anchor, whether it is here or not
+        first, last = np.maximum(off[k] - near - block + 1, 0), np.minimum(off[k] - near, n[k] - 1)
+        begin = (start[i:j] + runs)[k - i]
+        shared = grams.of(begin + off[k] - near, LENGTH - block + 1)
+        span = grams.of(begin + first, last - first + LENGTH)
+        parent = _mix(ck[k].view(np.uint64))
+        out["row"].append(of[k])
+        out["ck"].append(_signed(_mix(shared ^ (parent + near.astype(np.uint64)))))
+        out["fk"].append(_signed(_mix(span ^ _mix(((off[k] - first) * 1000 + last - first).astype(np.uint64) + np.uint64(2)))))
+        out["weight"].append(weight[k].astype(np.int32))
+        out["lo"].append((lo[k] + first).astype(np.int32))
+        out["off"].append((off[k] - first).astype(np.int32))
+        out["n"].append((last - first + 1).astype(np.int32))
+    return {c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in out.items()}
+
+
+def _flat(lists: pa.ListArray, names: tuple[str, ...]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Lists of structs of numbers: the number of each item's list, and the fields' values; a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    items = lists.flatten()
+    return np.repeat(np.arange(len(sizes)), sizes), {c: items.field(c).to_numpy(zero_copy_only=False) for c in names}
 
 
 def _suffixes(docs: DataFrame) -> DataFrame:
@@ -310,11 +344,8 @@ def find_repeats(docs: DataFrame, scratch: Scratch, family: SuffixFamily | None
         lists = scratch.write(unlike.groupBy("text_key").agg(F.collect_list(F.struct("ck", "weight", "lo", "off", "n")).alias("items")), f"lists-{level}")
 
         def cut(batch: pa.RecordBatch, block: int = block) -> dict:
-            out: list[tuple] = []
-            for key, text, items in zip(batch.column("text_key").to_pylist(), blobs(batch.column("text")), batch.column("items").to_pylist(), strict=True):
-                out += [(c, f, w, key, lo, off, n) for c, f, w, lo, off, n in _cut_units(text, items, block)]
-            names = ("ck", "fk", "weight", "text_key", "lo", "off", "n")
-            return dict(zip(names, zip(*out, strict=True), strict=True)) if out else {c: [] for c in names}
+            made = _cut_units(blobs(batch.column("text")), *_flat(batch.column("items"), _CUT), block)
+            return made | {"text_key": batch.column("text_key").to_numpy()[made["row"].astype(np.int64)]}
 
         # a row of the input that repeats gives its units twice; they are told apart by place
         parts = map_arrow(_with_texts(docs, lists, texts), cut, _UNITS).dropDuplicates(["text_key", "lo", "n"])
@@ -325,28 +356,30 @@ def find_repeats(docs: DataFrame, scratch: Scratch, family: SuffixFamily | None
     return known, every
 
 
-def _without(text: bytes, spans: list[dict]) -> tuple[bytes, int]:
-    """The bytes outside all spans (sorted by their first byte), and the number of maximal runs taken out."""
-    runs: list[list[int]] = []
-    for s in spans:
-        if runs and s["first"] <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], s["end"])
-        else:
-            runs.append([s["first"], s["end"]])
-    edges = [0, *[x for r in runs for x in r], len(text)]
-    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), len(runs)
+def _without(texts: list[bytes], lists: pa.ListArray) -> Iterator[tuple[bytes, int]]:
+    """For each text the bytes outside all its spans, and the number of maximal runs taken out."""
+    of, spans = _flat(lists, ("first", "end"))
+    order = np.lexsort((spans["first"], of))
+    of, first, end = of[order], spans["first"][order], spans["end"][order]
+    edges = np.searchsorted(of, np.arange(len(texts) + 1))
+    for text, i, j in zip(texts, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        reach = np.maximum.accumulate(end[i:j])
+        opens = np.flatnonzero(first[i + 1 : j] > reach[:-1]) + 1
+        starts = [*first[i : i + (j > i)].tolist(), *first[i:j][opens].tolist()]
+        ends = [*reach[opens - 1].tolist(), *reach[-1:].tolist()]
+        yield b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)], strict=True)), len(starts)
 
 
 def clean_texts(docs: DataFrame, family: SuffixFamily | None = None) -> DataFrame:
     """doc_id, text_key and kept (bytes: a cut may fall inside a character) of every row."""
     scratch = Scratch(docs.sparkSession, "cleaned")
     known, spans = find_repeats(docs, scratch, family)
-    lists = spans.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("items"))
+    lists = spans.groupBy("text_key").agg(F.collect_list(F.struct("first", "end")).alias("items"))
     rows = known.groupBy("text_key").agg(F.count(F.lit(1)).alias("rows"))
     groups = scratch.write(rows.join(lists, "text_key", "left"), "groups")
 
     def cut(batch: pa.RecordBatch) -> dict:
-        kept = [_without(t, i or [])[0] for t, i in zip(blobs(batch.column("text")), batch.column("items").to_pylist(), strict=True)]
+        kept = [k for k, _ in _without(blobs(batch.column("text")), batch.column("items"))]
         return {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "kept": kept}
 
     joined = join_groups(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), groups, ["text_key"], "rows").select("doc_id", "text_key", "text", "items")
@@ -362,14 +395,14 @@ def remove_repeats(docs: DataFrame, family: SuffixFamily | None = None) -> DataF
     texts = docs.sparkSession.read.schema(f"text_key bigint, rows bigint, rep_id {docs.schema['doc_id'].dataType.simpleString()}").parquet(scratch.paths["texts"])
     # equal texts go wholly by rule, so only texts that occur once are cut
     single = texts.filter("rows = 1").select(F.col("text_key").alias("_single"))
-    lists = spans.join(single, F.col("text_key") == F.col("_single"), "left_semi").groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("items"))
+    lists = spans.join(single, F.col("text_key") == F.col("_single"), "left_semi").groupBy("text_key").agg(F.collect_list(F.struct("first", "end")).alias("items"))
     lists = scratch.write(lists, "cuts")
     free(docs.sparkSession)
 
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict = {c: [] for c in ("n_removed", "n_spans", "kept_sha256")}
-        for text, items in zip(blobs(batch.column("text")), batch.column("items").to_pylist(), strict=True):
-            kept, runs = _without(text, items)
+        texts = blobs(batch.column("text"))
+        for text, (kept, runs) in zip(texts, _without(texts, batch.column("items")), strict=True):
             out["n_removed"].append(len(text) - len(kept))
             out["n_spans"].append(runs)
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())

@@ -79,6 +79,33 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     assert seen == Counter((k + 1, i) for k, t in enumerate(texts) for i in range(len(t) - sf.LENGTH + 1))
 
 
+def test_texts_are_hashed_once_when_their_units_are_cut(spark, monkeypatch):
+    """Units of a text overlap by nearly 400 bytes each; what they cover is hashed once, many texts together, whatever the slices."""
+    import numpy as np
+
+    rng = random.Random(6)
+    texts = [prose(rng, 300 + 40 * i).encode() for i in range(20)] + [b"", b"x" * 400]
+    texts.append(texts[3])
+    units = sf._anchor_units(texts, np.arange(len(texts)))
+    units["weight"] = np.ones(len(units["ck"]), np.int32)
+    hashed = []
+    plain = sf.Grams.__init__
+    monkeypatch.setattr(sf.Grams, "__init__", lambda self, buffer: (hashed.append(len(buffer)), plain(self, buffer))[1])
+    shuffled = np.random.default_rng(1).permutation(len(units["ck"]))
+    mixed = {c: v[shuffled] for c, v in units.items()}
+    shown = lambda made: sorted(zip(*(made[c].tolist() for c in ("row", "lo", "n", "off", "ck", "fk", "weight")), strict=True))
+    for block in (sf.BLOCK, 1):
+        hashed.clear()
+        made = shown(sf._cut_units(texts, mixed["text_key"], mixed, block))
+        assert sum(hashed) <= sum(map(len, texts)) and len(hashed) == 1
+        assert Counter((r, i) for r, lo, n, *_ in made for i in range(lo, lo + n)) == Counter((r, i) for r, t in enumerate(texts) for i in range(len(t) - sf.LENGTH + 1))
+        assert max(n for _, _, n, *_ in made) <= block
+        assert [x[1:] for x in made if x[0] == 3] == [x[1:] for x in made if x[0] == 22]  # equal texts, equal units
+        with monkeypatch.context() as m:
+            m.setattr(sf, "SLICE", 997)
+            assert shown(sf._cut_units(texts, mixed["text_key"], mixed, block)) == made
+
+
 def test_levels_grow_geometrically(spark, tmp_path):
     orders = []
     for _ in range(5):
